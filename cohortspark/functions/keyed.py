@@ -31,7 +31,7 @@ def weighted_choice(u: Column, weighted) -> Column:
     acc = 0.0
     for value, w in weighted[:-1]:
         acc += w / total
-        cond = u < F.lit(acc)
+        cond = u < F.lit(round(acc, 12))
         expr = F.when(cond, F.lit(value)) if expr is None else expr.when(cond, F.lit(value))
     last = F.lit(weighted[-1][0])
     return last if expr is None else expr.otherwise(last)

@@ -173,7 +173,7 @@ def group_stats(
         "max_value": F.max(value_col),
         "std_dev": F.stddev_samp(value_col),
     }
-    basic_names = [s for s in stats if s in exprs]
+    basic_names = [s for s in stats if s in exprs] or ["n_measurements"]
     pct = {s: PERCENTILE_STATS[s] for s in stats if s in PERCENTILE_STATS}
     if G:
         out = df.groupBy(*G).agg(*[exprs[s].alias(s) for s in basic_names])
