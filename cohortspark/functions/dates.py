@@ -15,7 +15,7 @@ def parse_yyyymmdd(c: Column, strict: bool = True) -> Column:
     dirty extracts.
     """
     if not strict:
-        return F.try_to_date(c.cast("string"), F.lit("yyyyMMdd"))
+        return F.try_to_date(c.cast("string"), "yyyyMMdd")
     n = c.cast("int")
     return F.make_date(F.floor(n / 10000).cast("int"), (F.floor(n / 100) % 100).cast("int"), (n % 100).cast("int"))
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import round_dp
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, materialize
 
 BOX_STATS = [
     "n_measurements",
@@ -143,16 +143,21 @@ def exact_percentiles(
     picked = join_null_safe(hit, targets, keys, "inner").where(
         (F.col("_cum") - F.col("_c") <= F.col("_local")) & (F.col("_local") < F.col("_cum"))
     )
-    ends_per = picked.groupBy(*G, "_name").agg(
-        F.max(F.when(F.col("_end") == "lo", F.col("_v"))).alias("_lo"),
-        F.max(F.when(F.col("_end") == "hi", F.col("_v"))).alias("_hi"),
-        F.max("_h").alias("_h"),
-    )
-    frac = F.col("_h") - F.floor("_h")
-    value = F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).otherwise(
-        F.col("_lo") + (F.col("_hi") - F.col("_lo")) * frac
-    )
-    return ends_per.groupBy(*G).agg(*[F.max(F.when(F.col("_name") == n, value)).alias(n) for n in names])
+    # One row per group: both ends and the position of every percentile.
+    parts = []
+    for i, n in enumerate(names):
+        is_n = F.col("_name") == n
+        parts += [
+            F.max(F.when(is_n & (F.col("_end") == "lo"), F.col("_v"))).alias(f"_lo{i}"),
+            F.max(F.when(is_n & (F.col("_end") == "hi"), F.col("_v"))).alias(f"_hi{i}"),
+            F.max(F.when(is_n, F.col("_h"))).alias(f"_h{i}"),
+        ]
+    ends_per = picked.groupBy(*G).agg(*parts)
+    out = []
+    for i, n in enumerate(names):
+        lo, hi, h = F.col(f"_lo{i}"), F.col(f"_hi{i}"), F.col(f"_h{i}")
+        out.append(F.when(lo == hi, lo).otherwise(lo + (hi - lo) * (h - F.floor(h))).alias(n))
+    return ends_per.select(*G, *out)
 
 
 def group_stats(
@@ -163,8 +168,16 @@ def group_stats(
     person_col: str = "person_id",
     dp: int = 2,
 ) -> DataFrame:
-    """Box-plot statistics per group, doubles rounded to ``dp`` decimals."""
+    """Box-plot statistics per group, doubles rounded to ``dp`` decimals.
+
+    When percentiles are asked for, the input is needed by two passes (the
+    histogram and the plain aggregates), so its few used columns are
+    written once to the shared folder first.
+    """
     G = list(group_cols)
+    pct = {s: PERCENTILE_STATS[s] for s in stats if s in PERCENTILE_STATS}
+    if pct:
+        df = materialize(df.select(*G, value_col, person_col), "stats_input")
     exprs = {
         "n_measurements": F.count(F.lit(1)),
         "n_patients": F.count_distinct(person_col),
@@ -174,7 +187,6 @@ def group_stats(
         "std_dev": F.stddev_samp(value_col),
     }
     basic_names = [s for s in stats if s in exprs] or ["n_measurements"]
-    pct = {s: PERCENTILE_STATS[s] for s in stats if s in PERCENTILE_STATS}
     if G:
         out = df.groupBy(*G).agg(*[exprs[s].alias(s) for s in basic_names])
     else:

@@ -63,3 +63,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique folder under the shared checkpoint location."""
     base = checkpoint_dir(spark).rstrip("/")
     return f"{base}/scratch/{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df, name: str):
+    """Write ``df`` once as parquet in the shared folder and read it back.
+
+    Used where an operator must pass over the same derived rows more than
+    once: the expensive upstream (scans, joins) runs a single time, the
+    written copy survives executor loss, and each later pass reads only the
+    columns it needs.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
