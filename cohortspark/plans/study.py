@@ -112,3 +112,55 @@ class Study:
 
     def clamped(self) -> DataFrame:
         return X.clamp_by_category(self.measurements, clamp_bounds_frame(self.spark))
+
+    # -- SQL surface and the derived-table build ---------------------------
+    def frames(self) -> dict[str, DataFrame]:
+        """The study's inputs and derived tables under their table names."""
+        demog = self.demographics
+        mc = self.measurements
+        return {
+            "person": self.t.person,
+            "condition_occurrence": self.t.condition,
+            "measurement": self.t.measurement,
+            "concept": self.t.concept,
+            "cohort_case": self.case,
+            "cohort_control": self.control,
+            "demographics_case": demog.where(F.col("cohort") == model.CASE).drop("cohort"),
+            "demographics_control": demog.where(F.col("cohort") == model.CONTROL).drop("cohort"),
+            "measurements_case": mc.where(F.col("cohort") == model.CASE),
+            "measurements_control": mc.where(F.col("cohort") == model.CONTROL),
+            "measurements_combined": mc,
+            "measurement_summary": self.summary,
+            "measurement_by_age_sex": self.by_age_sex,
+        }
+
+    def register_views(self, prefix: str = "") -> list[str]:
+        """Register every study frame as a session temp view, so the study
+        can also be queried with SQL (``spark.sql(text, args=...)``)."""
+        names = []
+        for name, df in self.frames().items():
+            df.createOrReplaceTempView(prefix + name)
+            names.append(prefix + name)
+        return names
+
+    def build_tables(self, prefix: str = "", buckets: int | None = None) -> dict[str, str]:
+        """Create-or-replace the derived tables, in dependency order.
+
+        Person-keyed tables are bucketed by ``person_id`` with one bucket
+        count, so later joins between them read co-located buckets instead
+        of shuffling. The aggregated reports are small and stored plain.
+        """
+        from ..sources.sinks import save_table
+
+        person_keyed = ["cohort_case", "cohort_control", "demographics_case", "demographics_control",
+                        "measurements_combined"]
+        reports = ["measurement_summary", "measurement_by_age_sex"]
+        frames = self.frames()
+        built = {}
+        for name in person_keyed:
+            save_table(frames[name], prefix + name, bucket_by="person_id", buckets=buckets)
+            built[name] = prefix + name
+        for name in reports:
+            save_table(frames[name], prefix + name)
+            built[name] = prefix + name
+        return built

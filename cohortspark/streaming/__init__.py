@@ -1,0 +1,8 @@
+"""Streaming: intentionally empty.
+
+The study this library re-expresses has no streaming part: every derived
+table is a full, idempotent rebuild from the source extracts (no watermark,
+window, state or late-data handling anywhere). Nothing is added here, so
+the library builds only what the study does. A full rebuild is
+``Study(...).build_tables()``.
+"""

@@ -22,6 +22,7 @@ def spark():
         .appName("cohortspark-tests")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="cohortspark-test-ckpt-"))
+        .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="cohortspark-test-wh-"))
     )
     for k, v in STUDY_CONF.items():
         b = b.config(k, v)
