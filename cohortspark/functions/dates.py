@@ -11,7 +11,7 @@ def parse_yyyymmdd(c: Column, strict: bool = True) -> Column:
 
     Strict parsing uses integer arithmetic + ``make_date`` (no string round
     trip per row, stays in codegen) and fails on an impossible month/day,
-    like the reference's strptime. ``strict=False`` returns NULL instead, for
+    like the original study's strptime. ``strict=False`` returns NULL instead, for
     dirty extracts.
     """
     if not strict:

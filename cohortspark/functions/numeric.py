@@ -17,7 +17,7 @@ def round_dp(c: Column, dp: int) -> Column:
 
 def round_cast_int(c: Column) -> Column:
     """DOUBLE -> INT as a rounding cast, half to even (18.5 -> 18, 19.5 -> 20),
-    which is what a SQL cast of a DOUBLE does in the reference's engine;
+    which is what a SQL cast of a DOUBLE does in the original study's engine;
     Spark's own cast truncates instead."""
     return F.rint(c).cast("int")
 

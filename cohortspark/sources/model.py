@@ -59,7 +59,7 @@ CATALOGUE_SCHEMA = T.StructType(
 )
 
 # --------------------------------------------------------------------------
-# Fixed values. These must equal the reference study's values for results to
+# Fixed values. These must equal the original study's values for results to
 # agree; they are listed plainly and in their natural order.
 # --------------------------------------------------------------------------
 

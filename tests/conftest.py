@@ -21,13 +21,16 @@ def spark():
         SparkSession.builder.master("local[*]")
         .appName("cohortspark-tests")
         .config("spark.sql.shuffle.partitions", "8")
-        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="cohortspark-test-ckpt-"))
         .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="cohortspark-test-wh-"))
     )
     for k, v in STUDY_CONF.items():
         b = b.config(k, v)
     s = b.getOrCreate()
     s.sparkContext.setLogLevel("ERROR")
+    # the shared checkpoint folder comes from the session's configuration;
+    # only when none is configured do tests use a private one
+    if not s.sparkContext.getCheckpointDir() and not s.conf.get("spark.checkpoint.dir", None):
+        s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="cohortspark-test-ckpt-"))
     yield s
     s.stop()
 
