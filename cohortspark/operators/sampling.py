@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import add_days
 from ..functions.keyed import keyed_uniform, weighted_choice
 from ..functions.numeric import clamp, round_cast_int
-from ..session import checkpoint_dir
+from ..session import materialize
 from ..sources import model
 
 SALT_CONTROL_SAMPLE = "control_sample"
@@ -100,7 +100,8 @@ def row_ids(
     1. exact copies collapse to one row with a multiplicity (map-side), so a
        heavily repeated row cannot overload a slice;
     2. distinct rows are range-partitioned into consecutive slices, frozen
-       by a reliable checkpoint;
+       by writing them once to the shared folder (a parquet copy, so the
+       passes below reuse each other's exchanges and prune columns);
     3. slice totals (one row per slice) give each slice's first id, and a
        running count inside each slice gives each distinct row its block;
     4. rows are expanded back to their copies; blocks larger than
@@ -111,16 +112,16 @@ def row_ids(
     multiset of rows.
     """
     spark = df.sparkSession
-    checkpoint_dir(spark)
     slices_n = num_slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
     cols = list(df.columns)
     order = list(order_cols) + [c for c in cols if c not in order_cols]
     sort_exprs = [F.col(c).asc_nulls_last() for c in order]
 
     distinct = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_copies"))
-    ranged = (
-        distinct.repartitionByRange(slices_n, *sort_exprs).withColumn("_slice", F.spark_partition_id())
-    ).checkpoint(eager=True)
+    ranged = materialize(
+        distinct.repartitionByRange(slices_n, *sort_exprs).withColumn("_slice", F.spark_partition_id()),
+        "row_id_slices",
+    )
 
     sizes = ranged.groupBy("_slice").agg(F.sum("_copies").alias("_slice_n"))
     # One row per slice: the ordering window runs over at most num_slices rows.

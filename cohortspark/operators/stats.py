@@ -10,8 +10,9 @@ spread across the cluster:
 1. histogram: count rows per (group, value) -- partial aggregation map-side,
    so repeated values collapse before the shuffle;
 2. range-partition the histogram on (group, value): a hot group is cut into
-   many consecutive slices, and the slice assignment is frozen with a
-   reliable checkpoint so both reads below see the same slices;
+   many consecutive slices, and the slice assignment is frozen by writing
+   the histogram once to the shared folder, so both reads below see the
+   same slices (and a lost executor cannot re-slice it);
 3. per (slice, group) row counts -> a small table (at most slices + groups
    rows) -> prefix sums give each slice's starting rank inside its group;
 4. the target ranks floor/ceil(p * (n - 1)) are located in their slice, and
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import round_dp
-from ..session import checkpoint_dir, materialize
+from ..session import materialize
 
 BOX_STATS = [
     "n_measurements",
@@ -45,6 +46,13 @@ BOX_STATS = [
     "std_dev",
 ]
 PERCENTILE_STATS = {"median_value": 0.5, "p25": 0.25, "p75": 0.75}
+
+# Histograms up to this many distinct (group, value) pairs are small enough
+# for the built-in frequency-weighted percentile, whose per-group buffer is
+# a value -> count map (about 100 bytes per entry). Larger ones take the
+# distributed path. Overridable with the session conf below.
+LOCAL_PERCENTILE_LIMIT = 1_000_000
+LOCAL_PERCENTILE_CONF = "cohortspark.percentile.localLimit"
 COUNT_STATS = {"n_measurements", "n_patients"}
 
 
@@ -69,28 +77,39 @@ def exact_percentiles(
     value_col: str,
     percentiles: Mapping[str, float],
     num_slices: int | None = None,
+    local_limit: int | None = None,
 ) -> DataFrame:
     """Exact interpolated percentiles per group, one column per name.
 
     Returns ``group_cols + list(percentiles)``; groups whose values are all
     NULL are absent (callers left-join). Result equals PERCENTILE_CONT(p).
+
+    The histogram's size is checked first (one count): at most
+    ``local_limit`` distinct (group, value) pairs go to the built-in
+    frequency-weighted ``percentile`` (bounded per-task memory, one
+    aggregate); beyond it the distributed range-slice path is used.
     """
     G = list(group_cols)
     if not G:
         df = df.withColumn("__all", F.lit(0))
-        out = exact_percentiles(df, ["__all"], value_col, percentiles, num_slices)
+        out = exact_percentiles(df, ["__all"], value_col, percentiles, num_slices, local_limit)
         return out.drop("__all")
     spark = df.sparkSession
     slices_n = num_slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if local_limit is None:
+        local_limit = int(spark.conf.get(LOCAL_PERCENTILE_CONF, str(LOCAL_PERCENTILE_LIMIT)))
     names = list(percentiles)
 
     vals = df.select(*G, F.col(value_col).cast("double").alias("_v")).where(F.col("_v").isNotNull())
     hist = vals.groupBy(*G, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    checkpoint_dir(spark)
-    ranged = (
+    if local_limit > 0 and hist.limit(local_limit + 1).count() <= local_limit:
+        ps = F.array(*[F.lit(float(percentiles[n])) for n in names])
+        got = hist.groupBy(*G).agg(F.percentile(F.col("_v"), ps, F.col("_c")).alias("_p"))
+        return got.select(*G, *[F.col("_p")[i].alias(n) for i, n in enumerate(names)])
+    ranged = materialize(
         hist.repartitionByRange(slices_n, *[F.col(g).asc_nulls_first() for g in G], F.col("_v").asc())
-        .withColumn("_slice", F.spark_partition_id())
-        .checkpoint(eager=True)
+        .withColumn("_slice", F.spark_partition_id()),
+        "percentile_slices",
     )
 
     keys = ["_slice"] + G

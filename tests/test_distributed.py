@@ -33,12 +33,17 @@ def brute_percentile(values, p):
     return float(np.percentile(vs, p * 100, method="linear")) if vs else None
 
 
-@pytest.mark.parametrize("slices", [1, 3, 64])
-def test_exact_percentiles_match_brute_force(spark, slices):
+@pytest.mark.parametrize("slices,local_limit", [(1, 0), (3, 0), (64, 0), (8, None), (8, 10)])
+def test_exact_percentiles_match_brute_force(spark, slices, local_limit):
+    # local_limit 0 forces the distributed path; None takes the size-checked
+    # local path here; 10 is below the histogram size, so distributed again
     rows = skewed_rows()
     df = spark.createDataFrame(rows, "g string, person_id long, v double")
     pct = {"p10": 0.1, "p25": 0.25, "median": 0.5, "p75": 0.75, "p99": 0.99}
-    got = {r.g: r for r in exact_percentiles(df, ["g"], "v", pct, num_slices=slices).collect()}
+    got = {
+        r.g: r
+        for r in exact_percentiles(df, ["g"], "v", pct, num_slices=slices, local_limit=local_limit).collect()
+    }
     groups = {}
     for g, _, v in rows:
         groups.setdefault(g, []).append(v)
@@ -50,10 +55,11 @@ def test_exact_percentiles_match_brute_force(spark, slices):
 def test_exact_percentiles_null_group_key_and_global(spark):
     rows = [(None, 1.0), (None, 3.0), ("a", 2.0)]
     df = spark.createDataFrame(rows, "g string, v double")
-    got = {r.g: r.m for r in exact_percentiles(df, ["g"], "v", {"m": 0.5}).collect()}
-    assert got == {None: 2.0, "a": 2.0}
-    glob = exact_percentiles(df, [], "v", {"m": 0.5}).collect()
-    assert glob[0].m == 2.0
+    for limit in (0, None):
+        got = {r.g: r.m for r in exact_percentiles(df, ["g"], "v", {"m": 0.5}, local_limit=limit).collect()}
+        assert got == {None: 2.0, "a": 2.0}
+        glob = exact_percentiles(df, [], "v", {"m": 0.5}, local_limit=limit).collect()
+        assert glob[0].m == 2.0
 
 
 def test_group_stats_against_duckdb(spark):

@@ -31,3 +31,15 @@ def test_entry_smoke(spark):
     rows = df.collect()
     assert len(rows) == 2
     assert df.columns[:3] == ["cohort", "n_measurements", "n_patients"]
+
+
+@pytest.mark.parametrize("key", ["measurement_summary", "measurement_summary_by_concept", "measurement_by_age_sex"])
+def test_distributed_percentile_path_matches_oracle(spark, con, key):
+    from cohortspark.operators.stats import LOCAL_PERCENTILE_CONF
+
+    spark.conf.set(LOCAL_PERCENTILE_CONF, "0")
+    try:
+        problems, _ = compare(QUERIES[key](spark, SF_SMALL), con, ORACLE[key])
+    finally:
+        spark.conf.unset(LOCAL_PERCENTILE_CONF)
+    assert not problems, problems
