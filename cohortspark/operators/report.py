@@ -84,16 +84,17 @@ def age_sex_pivot(mc: DataFrame, demog: DataFrame) -> DataFrame:
 
 
 def box_plot(summary: DataFrame, concept: DataFrame, disease_id: int = model.DEFAULT_DISEASE_ID) -> DataFrame:
-    """Five-number record per cohort with its display label."""
-    names = concept.select(F.col("concept_id").alias("disease_concept_id"), "concept_name")
-    s = summary.withColumn("disease_concept_id", F.lit(int(disease_id)))
-    disease = label_or_fallback(F.col("concept_name"), F.col("disease_concept_id"))
+    """Five-number record per cohort with its display label.
+
+    The disease name is one value of the concept dimension, attached as a
+    scalar subquery (evaluated once), not as a join.
+    """
+    name = concept.where(F.col("concept_id") == int(disease_id)).select(F.max("concept_name")).scalar()
+    disease = label_or_fallback(name, F.lit(int(disease_id)))
     label = F.when(
         F.col("cohort") == model.CASE, F.concat(F.lit(model.CASE_LABEL + " ("), disease, F.lit(")"))
     ).otherwise(F.lit(model.CONTROL_LABEL))
-    return s.join(F.broadcast(names), "disease_concept_id", "left").select(
-        "cohort", label.alias("label"), "min_value", "p25", "median_value", "p75", "max_value"
-    )
+    return summary.select("cohort", label.alias("label"), "min_value", "p25", "median_value", "p75", "max_value")
 
 
 def summary_card(summary_by_concept: DataFrame, catalogue: DataFrame) -> DataFrame:
