@@ -146,21 +146,24 @@ class Study:
     def build_tables(self, prefix: str = "", buckets: int | None = None) -> dict[str, str]:
         """Create-or-replace the derived tables, in dependency order.
 
-        Person-keyed tables are bucketed by ``person_id`` with one bucket
-        count, so later joins between them read co-located buckets instead
-        of shuffling. The aggregated reports are small and stored plain.
+        The one-row-per-person tables (cohorts, demographics) are bucketed by
+        ``person_id`` with one bucket count, so joins among them read
+        co-located buckets instead of shuffling; a person cannot be hot in
+        them. The measurement table is stored unbucketed: one person may
+        own a large share of its rows, and a join that shuffles it keeps
+        AQE's skew-join splitting, which a bucketed scan would give up. The
+        aggregated reports are small and stored plain.
         """
         from ..sources.sinks import save_table
 
-        person_keyed = ["cohort_case", "cohort_control", "demographics_case", "demographics_control",
-                        "measurements_combined"]
-        reports = ["measurement_summary", "measurement_by_age_sex"]
+        per_person = ["cohort_case", "cohort_control", "demographics_case", "demographics_control"]
+        plain = ["measurements_combined", "measurement_summary", "measurement_by_age_sex"]
         frames = self.frames()
         built = {}
-        for name in person_keyed:
+        for name in per_person:
             save_table(frames[name], prefix + name, bucket_by="person_id", buckets=buckets)
             built[name] = prefix + name
-        for name in reports:
+        for name in plain:
             save_table(frames[name], prefix + name)
             built[name] = prefix + name
         return built

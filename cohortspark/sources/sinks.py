@@ -25,12 +25,14 @@ def save_table(df: DataFrame, name: str, bucket_by: str | None = None, buckets:
     With ``bucket_by='person_id'`` (same bucket count for every person-keyed
     table) later person joins read co-partitioned buckets without a shuffle.
     """
-    w = df.write.mode("overwrite").format("parquet")
     if bucket_by:
-        w = w.bucketBy(buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), bucket_by).sortBy(
+        n = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        # one writer per bucket, so each bucket is one file rather than one per task
+        df.repartition(n, bucket_by).write.mode("overwrite").format("parquet").bucketBy(n, bucket_by).sortBy(
             bucket_by
-        )
-    w.saveAsTable(name)
+        ).saveAsTable(name)
+    else:
+        df.write.mode("overwrite").format("parquet").saveAsTable(name)
 
 
 def json_records(df: DataFrame, renames: Mapping[str, str] | None = None, keep: Sequence[str] = ()) -> DataFrame:

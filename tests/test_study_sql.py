@@ -27,7 +27,7 @@ def test_build_tables_bucketed(spark):
     # broadcast is switched off so the bucketed sort-merge join is chosen)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        j = spark.table("t_measurements_combined").join(spark.table("t_cohort_case"), "person_id")
+        j = spark.table("t_demographics_case").join(spark.table("t_cohort_case"), "person_id")
         p = j._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in p and "Exchange" not in p
         assert j.count() > 0
