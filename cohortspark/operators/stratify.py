@@ -35,8 +35,11 @@ def measurement_by_age_sex(mc: DataFrame, demog: DataFrame, stats: Sequence[str]
 
 
 def age_bands_ordered(by_age_sex: DataFrame) -> DataFrame:
-    """The stratified report with the band's display ordinal (not lexical)."""
-    return by_age_sex.withColumn("age_order", age_band_order(F.col("age_group")))
+    """The stratified report in display order: cohort, band ordinal (so '<20'
+    comes first, not after '60+' as in lexical order), gender."""
+    return by_age_sex.withColumn("age_order", age_band_order(F.col("age_group"))).orderBy(
+        "cohort", "age_order", F.col("gender").asc_nulls_last()
+    )
 
 
 def measurement_type_counts(mc: DataFrame, catalogue: DataFrame) -> DataFrame:

@@ -339,7 +339,7 @@ def _summary_card(spark, sf):
 @register("summary_json")
 def _summary_json(spark, sf):
     renames = {"mean_value": "mean", "median_value": "median", "min_value": "min", "max_value": "max"}
-    return json_records(study(spark, sf).summary, renames, keep=["cohort"])
+    return json_records(study(spark, sf).summary.orderBy("cohort"), renames, keep=["cohort"])
 
 
 @register("load_checks")
