@@ -101,7 +101,9 @@ def exact_percentiles(
     names = list(percentiles)
 
     vals = df.select(*G, F.col(value_col).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    hist = vals.groupBy(*G, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    # The histogram is aggregated once and written (it is the reduced form of
+    # the input); the size check and whichever path follows read that copy.
+    hist = materialize(vals.groupBy(*G, "_v").agg(F.count(F.lit(1)).alias("_c")), "percentile_histogram")
     # A plain count (partial counts merged once); a LIMIT here would funnel
     # up to limit rows per partition into a single task.
     if local_limit > 0 and hist.count() <= local_limit:
