@@ -36,10 +36,15 @@ def save_table(df: DataFrame, name: str, bucket_by: str | None = None, buckets:
 
 
 def json_records(df: DataFrame, renames: Mapping[str, str] | None = None, keep: Sequence[str] = ()) -> DataFrame:
-    """Each row as a JSON object string (columns renamed for the consumer)."""
+    """Each row as a JSON object string (columns renamed for the consumer).
+
+    NULL fields are written as ``null`` rather than dropped, so every record
+    has the same keys.
+    """
     renames = dict(renames or {})
     fields = [F.col(c).alias(renames.get(c, c)) for c in df.columns]
-    return df.select(*[F.col(k) for k in keep], F.to_json(F.struct(*fields)).alias("record"))
+    record = F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
+    return df.select(*[F.col(k) for k in keep], record.alias("record"))
 
 
 def export_frame(df: DataFrame, path: str, fmt: str = "parquet") -> None:

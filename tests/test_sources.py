@@ -62,6 +62,8 @@ def test_json_records_and_export(spark):
     df = spark.createDataFrame([("CASE", 1.5, 2)], "cohort string, mean_value double, n long")
     rec = json_records(df, {"mean_value": "mean"}, keep=["cohort"]).collect()[0]
     assert rec.cohort == "CASE" and rec.record == '{"cohort":"CASE","mean":1.5,"n":2}'
+    with_null = spark.createDataFrame([("A", None)], "cohort string, std_dev double")
+    assert json_records(with_null).collect()[0].record == '{"cohort":"A","std_dev":null}'
     for fmt in ("csv", "json", "parquet"):
         out = os.path.join(_tmp(), fmt)
         export_frame(df, out, fmt)
