@@ -47,3 +47,26 @@ def test_analyte_filter_honoured(spark):
     }
     for r in s.summary.collect():
         assert tuple(r)[1:] == tuple(by_concept[(r.cohort, 3004501)])[2:]
+
+
+def test_reports_from_stored_tables(spark):
+    import json
+
+    import pytest
+
+    from cohortspark.plans.stored import stored_by_age_sex, stored_demographics, stored_summary
+    from cohortspark.sources.sinks import MissingTableError
+
+    with pytest.raises(MissingTableError):
+        stored_summary(spark, prefix="nothing_built_")
+    s = study(spark, SF_SMALL)
+    built = s.build_tables(prefix="r_")
+    recs = [json.loads(r.record) for r in stored_summary(spark, "r_").collect()]
+    assert [r["cohort"] for r in recs] == ["CASE", "CONTROL"]
+    assert recs[0]["median"] == 26.0 and recs[0]["n_measurements"] == 1131 and "mean_value" not in recs[0]
+    bands = [(r.cohort, r.age_group) for r in stored_by_age_sex(spark, "r_").collect()]
+    assert bands[0] == ("CASE", "<20") and bands[-1][1] == "60+"
+    demo = {r.cohort: r for r in stored_demographics(spark, "r_").collect()}
+    assert (demo["CASE"].n_patients, demo["CASE"].n_male, demo["CASE"].pct_male) == (132, 61, 46.2)
+    for name in built.values():
+        spark.sql(f"DROP TABLE {name}")
