@@ -89,3 +89,19 @@ def test_row_ids_dense_with_hot_copies(spark, slices, chunk):
     got = sorted(((r.cohort, r.person_id, r.v), r.rid) for r in out)
     # ids follow the order: the k-th smallest row holds id k (copies interchangeable)
     assert [g[0] for g in sorted(got, key=lambda x: x[1])] == expected
+
+
+def test_approx_opt_in_close_to_exact(spark):
+    rows = skewed_rows(4000, seed=11)
+    df = spark.createDataFrame(rows, "cohort string, person_id long, value_numeric double")
+    exact = {r.cohort: r for r in group_stats(df, ["cohort"]).collect()}
+    approx = {r.cohort: r for r in group_stats(df, ["cohort"], approx=True).collect()}
+    plan = group_stats(df, ["cohort"], approx=True)._jdf.queryExecution().executedPlan().toString()
+    assert "percentile_approx" in plan and "approx_count_distinct" in plan
+    for g, e in exact.items():
+        a = approx[g]
+        assert a.n_measurements == e.n_measurements and a.mean_value == e.mean_value
+        assert abs(a.n_patients - e.n_patients) <= max(2, 0.05 * e.n_patients)
+        spread = (e.max_value - e.min_value) or 1.0
+        for name in ("p25", "median_value", "p75"):
+            assert abs(getattr(a, name) - getattr(e, name)) <= 0.05 * spread
