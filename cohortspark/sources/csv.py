@@ -34,10 +34,41 @@ MEASUREMENT_POSITIONS = {
 MEASUREMENT_WIDTH = 8
 
 
+DATE_COLUMNS = {"condition_start_date", "measurement_date"}
+
+
+def yyyymmdd(c, dtype: T.DataType):
+    """A date column of any common form as a yyyymmdd integer.
+
+    DATE / TIMESTAMP values convert directly; text may be 'yyyymmdd' or
+    'yyyy-MM-dd'; anything else becomes NULL rather than failing the job.
+    """
+    def as_int(d):
+        return (F.year(d) * 10000 + F.month(d) * 100 + F.dayofmonth(d)).cast("int")
+
+    if isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return as_int(c)
+    if isinstance(dtype, T.StringType):
+        text = F.trim(c)
+        return (
+            F.when(text.rlike(r"^[0-9]{8}$"), text.try_cast("int"))
+            .when(text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), as_int(F.try_to_date(text, "yyyy-MM-dd")))
+        )
+    return c.try_cast("int")
+
+
 def conform(raw: DataFrame, schema: T.StructType) -> DataFrame:
-    """Lower-case the header names, keep the schema's columns, cast them."""
+    """Lower-case the header names, keep the schema's columns, cast them
+    (dates normalised to yyyymmdd integers whatever their source form)."""
     lowered = raw.toDF(*[c.strip().lower() for c in raw.columns])
-    return lowered.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields])
+    types = {f.name: f.dataType for f in lowered.schema.fields}
+    cols = []
+    for f in schema.fields:
+        if f.name in DATE_COLUMNS and isinstance(f.dataType, T.IntegerType):
+            cols.append(yyyymmdd(F.col(f.name), types[f.name]).alias(f.name))
+        else:
+            cols.append(F.col(f.name).try_cast(f.dataType).alias(f.name))
+    return lowered.select(*cols)
 
 
 def read_table_csv(

@@ -68,3 +68,23 @@ def test_json_records_and_export(spark):
         out = os.path.join(_tmp(), fmt)
         export_frame(df, out, fmt)
         assert any(not f.startswith(".") and not f.startswith("_") for f in os.listdir(out))
+
+
+def test_dates_normalised_from_any_form(spark):
+    import datetime as dt
+
+    from cohortspark.sources.csv import conform
+    from cohortspark.sources.model import MEASUREMENT_SCHEMA
+
+    as_date = spark.createDataFrame(
+        [(1, 3004501, dt.date(2020, 1, 2), 4.0), (2, 3004501, None, 5.0)],
+        "PERSON_ID long, MEASUREMENT_CONCEPT_ID int, MEASUREMENT_DATE date, VALUE_AS_NUMBER double",
+    )
+    as_text = spark.createDataFrame(
+        [(1, "3004501", "20200102", "4.0"), (2, "3004501", "2020-01-03", "x"), (3, "3004501", "bad", "1")],
+        "person_id long, measurement_concept_id string, measurement_date string, value_as_number string",
+    )
+    a = [tuple(r) for r in conform(as_date, MEASUREMENT_SCHEMA).orderBy("person_id").collect()]
+    b = [tuple(r) for r in conform(as_text, MEASUREMENT_SCHEMA).orderBy("person_id").collect()]
+    assert a == [(1, 3004501, 20200102, 4.0), (2, 3004501, None, 5.0)]
+    assert b == [(1, 3004501, 20200102, 4.0), (2, 3004501, 20200103, None), (3, 3004501, None, 1.0)]
