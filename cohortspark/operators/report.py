@@ -61,14 +61,14 @@ PIVOT_COLUMNS = [
 ]
 
 
-def age_sex_pivot(mc: DataFrame, demog: DataFrame) -> DataFrame:
+def age_sex_pivot(mc: DataFrame, person: DataFrame, concept: DataFrame) -> DataFrame:
     """Long -> wide: one row per age band, patients per cohort x sex, 0 filled.
 
     Only the patient counts are computed (no medians). The conditional sums
     run over at most bands x cohorts x genders aggregated rows; the four-row
     band scaffold keeps empty bands.
     """
-    counts = measurement_by_age_sex(mc, demog, stats=["n_patients"])
+    counts = measurement_by_age_sex(mc, person, concept, stats=["n_patients"])
     wide = counts.groupBy("age_group").agg(
         *[
             F.sum(F.when((F.col("cohort") == c) & (F.col("gender") == g), F.col("n_patients"))).alias(name)

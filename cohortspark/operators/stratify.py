@@ -15,23 +15,33 @@ from .stats import group_stats
 AGE_SEX_STATS = ["n_patients", "n_measurements", "mean_value", "median_value"]
 
 
-def measurements_with_demographics(mc: DataFrame, demog: DataFrame) -> DataFrame:
-    """Measurements joined to the member's age band and gender label.
-
-    Inner join on (cohort, person_id); members without age or gender label
-    are left out, as the stratified report requires both.
+def measurements_with_demographics(mc: DataFrame, person: DataFrame, concept: DataFrame) -> DataFrame:
+    """Measurements with the member's age band and gender label at index.
+
+    The outcome rows already carry the cohort and its index date, so they
+    join the person table directly on ``person_id`` (the key they are
+    already partitioned by after the outcome join: only the person side
+    moves) instead of re-deriving the cohort demographics. Rows without an
+    age or a gender label are left out, as the report requires both.
     """
-    d = demog.select("cohort", "person_id", "age_at_index", "gender").where(
-        F.col("age_at_index").isNotNull() & F.col("gender").isNotNull()
+    labels = concept.select(F.col("concept_id").alias("gender_concept_id"), F.col("concept_name").alias("gender"))
+    p = person.select("person_id", "gender_concept_id", "year_of_birth").join(
+        F.broadcast(labels), "gender_concept_id", "left"
     )
-    return mc.select("cohort", "person_id", "value_numeric").join(d, ["cohort", "person_id"], "inner").select(
-        "cohort", "person_id", "value_numeric", age_band(F.col("age_at_index")).alias("age_group"), "gender"
+    age = (F.year("cohort_index_date") - F.col("year_of_birth")).cast("int")
+    j = mc.select("cohort", "person_id", "cohort_index_date", "value_numeric").join(p, "person_id", "inner")
+    return j.where(age.isNotNull() & F.col("gender").isNotNull()).select(
+        "cohort", "person_id", "value_numeric", age_band(age).alias("age_group"), "gender"
     )
 
 
-def measurement_by_age_sex(mc: DataFrame, demog: DataFrame, stats: Sequence[str] = AGE_SEX_STATS) -> DataFrame:
+def measurement_by_age_sex(
+    mc: DataFrame, person: DataFrame, concept: DataFrame, stats: Sequence[str] = AGE_SEX_STATS
+) -> DataFrame:
     """Patients, measurements, mean and median by cohort x age band x gender."""
-    return group_stats(measurements_with_demographics(mc, demog), ["cohort", "age_group", "gender"], stats=list(stats))
+    return group_stats(
+        measurements_with_demographics(mc, person, concept), ["cohort", "age_group", "gender"], stats=list(stats)
+    )
 
 
 def age_bands_ordered(by_age_sex: DataFrame) -> DataFrame:

@@ -86,7 +86,7 @@ class Study:
 
     @cached_property
     def by_age_sex(self) -> DataFrame:
-        return T.measurement_by_age_sex(self.measurements, self.demographics)
+        return T.measurement_by_age_sex(self.measurements, self.t.person, self.t.concept)
 
     # -- reports -----------------------------------------------------------
     @cached_property
@@ -103,7 +103,7 @@ class Study:
         return R.summary_card(self.summary_by_concept, self.catalogue)
 
     def age_sex_pivot(self) -> DataFrame:
-        return R.age_sex_pivot(self.measurements, self.demographics)
+        return R.age_sex_pivot(self.measurements, self.t.person, self.t.concept)
 
     # -- follow-up design --------------------------------------------------
     @cached_property

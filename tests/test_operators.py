@@ -158,7 +158,7 @@ def test_pivot_zero_fill(spark):
     cohorts = C.cohort_union(case, C.control_cohort(person, case, measurement))
     demog = D.demographics(cohorts, person, concept_frame(spark))
     mc = O.extract_measurements(measurement, cohorts)
-    rows = {r.age_group: r for r in R.age_sex_pivot(mc, demog).collect()}
+    rows = {r.age_group: r for r in R.age_sex_pivot(mc, person, concept_frame(spark)).collect()}
     assert set(rows) == {"<20", "20-40", "40-60", "60+"}
     # person 1: case, male, 59 at index; person 2: case, female, 25; person 4: control, male, 31
     got = {k: (r.case_male, r.case_female, r.control_male, r.control_female) for k, r in rows.items()}
