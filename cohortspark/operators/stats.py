@@ -78,9 +78,13 @@ def exact_percentiles(
     percentiles: Mapping[str, float],
     num_slices: int | None = None,
     local_limit: int | None = None,
+    weight_col: str | None = None,
 ) -> DataFrame:
     """Exact interpolated percentiles per group, one column per name.
 
+    ``weight_col`` (optional) gives each row a multiplicity, for inputs that
+    were pre-aggregated into (value, count) rows.
+
     Returns ``group_cols + list(percentiles)``; groups whose values are all
     NULL are absent (callers left-join). Result equals PERCENTILE_CONT(p).
 
@@ -92,7 +96,7 @@ def exact_percentiles(
     G = list(group_cols)
     if not G:
         df = df.withColumn("__all", F.lit(0))
-        out = exact_percentiles(df, ["__all"], value_col, percentiles, num_slices, local_limit)
+        out = exact_percentiles(df, ["__all"], value_col, percentiles, num_slices, local_limit, weight_col)
         return out.drop("__all")
     spark = df.sparkSession
     slices_n = num_slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -100,10 +104,13 @@ def exact_percentiles(
         local_limit = int(spark.conf.get(LOCAL_PERCENTILE_CONF, str(LOCAL_PERCENTILE_LIMIT)))
     names = list(percentiles)
 
-    vals = df.select(*G, F.col(value_col).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    weight = F.col(weight_col).cast("long") if weight_col else F.lit(1).cast("long")
+    vals = df.select(*G, F.col(value_col).cast("double").alias("_v"), weight.alias("_w")).where(
+        F.col("_v").isNotNull()
+    )
     # The histogram is aggregated once and written (it is the reduced form of
     # the input); the size check and whichever path follows read that copy.
-    hist = materialize(vals.groupBy(*G, "_v").agg(F.count(F.lit(1)).alias("_c")), "percentile_histogram")
+    hist = materialize(vals.groupBy(*G, "_v").agg(F.sum("_w").alias("_c")), "percentile_histogram")
     # A plain count (partial counts merged once); a LIMIT here would funnel
     # up to limit rows per partition into a single task.
     if local_limit > 0 and hist.count() <= local_limit:
@@ -192,9 +199,14 @@ def group_stats(
     dp: int = 2,
     approx: bool = False,
     accuracy: int = 10000,
+    weight_col: str | None = None,
 ) -> DataFrame:
     """Box-plot statistics per group, doubles rounded to ``dp`` decimals.
 
+    ``weight_col`` (optional) is a per-row multiplicity, for inputs that were
+    pre-aggregated into (value, count) rows before a join: counts, mean,
+    percentiles and standard deviation then weigh each row by it.
+
     When exact percentiles are asked for, the input is needed by two passes
     (the histogram and the plain aggregates), so its few used columns are
     written once to the shared folder first.
@@ -207,25 +219,34 @@ def group_stats(
     G = list(group_cols)
     pct = {s: PERCENTILE_STATS[s] for s in stats if s in PERCENTILE_STATS}
     if approx:
+        if weight_col:
+            raise ValueError("approx statistics take unweighted rows")
         return _approx_stats(df, G, stats, value_col, person_col, dp, accuracy)
-    if pct:
-        df = materialize(df.select(*G, value_col, person_col), "stats_input")
-    exprs = {
-        "n_measurements": F.count(F.lit(1)),
-        "n_patients": F.count_distinct(person_col),
-        "mean_value": F.avg(value_col),
-        "min_value": F.min(value_col),
-        "max_value": F.max(value_col),
-        "std_dev": F.stddev_samp(value_col),
-    }
+    weighted_sd = bool(weight_col) and "std_dev" in stats
+    if pct or weighted_sd:
+        used = [*G, value_col, person_col] + ([weight_col] if weight_col else [])
+        df = materialize(df.select(*used), "stats_input")
+    v = F.col(value_col)
+    if weight_col:
+        w = F.col(weight_col)
+        exprs = {
+            "n_measurements": F.sum(w),
+            "mean_value": F.sum(v * w) / F.sum(F.when(v.isNotNull(), w)),
+        }
+    else:
+        exprs = {"n_measurements": F.count(F.lit(1)), "mean_value": F.avg(v), "std_dev": F.stddev_samp(v)}
+    exprs.update({"n_patients": F.count_distinct(person_col), "min_value": F.min(v), "max_value": F.max(v)})
     basic_names = [s for s in stats if s in exprs] or ["n_measurements"]
     if G:
         out = df.groupBy(*G).agg(*[exprs[s].alias(s) for s in basic_names])
     else:
         out = df.agg(*[exprs[s].alias(s) for s in basic_names])
     if pct:
-        p = exact_percentiles(df, G, value_col, pct)
+        p = exact_percentiles(df, G, value_col, pct, weight_col=weight_col)
         out = join_null_safe(out, p, G, "left") if G else _attach_global(out, p)
+    if weighted_sd:
+        sd = _weighted_stddev(df, G, value_col, weight_col)
+        out = join_null_safe(out, sd, G, "left") if G else _attach_global(out, sd)
     cols = []
     for s in stats:
         if s in COUNT_STATS:
@@ -235,6 +256,25 @@ def group_stats(
     return out.select(*G, *cols)
 
 
+def _weighted_stddev(df: DataFrame, G, value_col: str, weight_col: str) -> DataFrame:
+    """Sample standard deviation of count-weighted rows, two-pass (group
+    mean first, then weighted squared deviations), so it stays as stable as
+    the unweighted ``stddev_samp``. NULL for fewer than two rows."""
+    key = G or ["__all"]
+    rows = df if G else df.withColumn("__all", F.lit(0))
+    v, w = F.col(value_col), F.col(weight_col)
+    means = rows.where(v.isNotNull()).groupBy(*key).agg(
+        (F.sum(v * w) / F.sum(w)).alias("_mean"), F.sum(w).alias("_n")
+    )
+    dev = join_null_safe(rows.where(v.isNotNull()), means, key, "inner")
+    ss = dev.groupBy(*key).agg(
+        F.sum(w * (v - F.col("_mean")) * (v - F.col("_mean"))).alias("_ss"), F.max("_n").alias("_n")
+    )
+    sd = F.when(F.col("_n") > 1, F.sqrt(F.col("_ss") / (F.col("_n") - 1)))
+    out = ss.select(*key, sd.alias("std_dev"))
+    return out if G else out.drop("__all")
+
+
 def _approx_stats(df, G, stats, value_col, person_col, dp, accuracy) -> DataFrame:
     exprs = {
         "n_measurements": F.count(F.lit(1)),

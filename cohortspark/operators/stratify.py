@@ -15,33 +15,57 @@ from .stats import group_stats
 AGE_SEX_STATS = ["n_patients", "n_measurements", "mean_value", "median_value"]
 
 
-def measurements_with_demographics(mc: DataFrame, person: DataFrame, concept: DataFrame) -> DataFrame:
-    """Measurements with the member's age band and gender label at index.
+VALUE_STATS = {"mean_value", "median_value", "p25", "p75", "min_value", "max_value", "std_dev"}
+
+
+def with_age_band_and_gender(rows: DataFrame, person: DataFrame, concept: DataFrame) -> DataFrame:
+    """Rows carrying (cohort, person_id, cohort_index_date) get the member's
+    age band and gender label at index; rows lacking either are left out.
 
-    The outcome rows already carry the cohort and its index date, so they
-    join the person table directly on ``person_id`` (the key they are
-    already partitioned by after the outcome join: only the person side
-    moves) instead of re-deriving the cohort demographics. Rows without an
-    age or a gender label are left out, as the report requires both.
+    The join is on ``person_id`` alone; the person side (one row per person,
+    gender label from the broadcast fixed-size concept dimension) is the
+    side that moves.
     """
     labels = concept.select(F.col("concept_id").alias("gender_concept_id"), F.col("concept_name").alias("gender"))
     p = person.select("person_id", "gender_concept_id", "year_of_birth").join(
         F.broadcast(labels), "gender_concept_id", "left"
     )
     age = (F.year("cohort_index_date") - F.col("year_of_birth")).cast("int")
-    j = mc.select("cohort", "person_id", "cohort_index_date", "value_numeric").join(p, "person_id", "inner")
-    return j.where(age.isNotNull() & F.col("gender").isNotNull()).select(
-        "cohort", "person_id", "value_numeric", age_band(age).alias("age_group"), "gender"
+    keep = [c for c in rows.columns if c not in ("cohort_index_date",)]
+    return (
+        rows.join(p, "person_id", "inner")
+        .where(age.isNotNull() & F.col("gender").isNotNull())
+        .select(*keep, age_band(age).alias("age_group"), "gender")
+    )
+
+
+def measurements_with_demographics(mc: DataFrame, person: DataFrame, concept: DataFrame) -> DataFrame:
+    """Every outcome row with its member's age band and gender (row level)."""
+    return with_age_band_and_gender(
+        mc.select("cohort", "person_id", "cohort_index_date", "value_numeric"), person, concept
     )
 
 
 def measurement_by_age_sex(
     mc: DataFrame, person: DataFrame, concept: DataFrame, stats: Sequence[str] = AGE_SEX_STATS
 ) -> DataFrame:
-    """Patients, measurements, mean and median by cohort x age band x gender."""
-    return group_stats(
-        measurements_with_demographics(mc, person, concept), ["cohort", "age_group", "gender"], stats=list(stats)
-    )
+    """Patients, measurements, mean and median by cohort x age band x gender.
+
+    Outcome rows are first collapsed to (cohort, person, index date, value)
+    with a row count -- map-side, so even a person owning a large share of
+    all rows reaches the join as a handful of rows per task (a hot person's
+    rows look alike after pruning, so byte-based skew detection alone would
+    not catch them). Only the value-free key is kept when no value
+    statistic is asked for. The statistics then weigh each row by its count.
+    """
+    keys = ["cohort", "person_id", "cohort_index_date"]
+    if VALUE_STATS & set(stats):
+        keys.append("value_numeric")
+    pre = mc.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    if "value_numeric" not in keys:
+        pre = pre.withColumn("value_numeric", F.lit(None).cast("double"))
+    rows = with_age_band_and_gender(pre, person, concept)
+    return group_stats(rows, ["cohort", "age_group", "gender"], stats=list(stats), weight_col="_rows")
 
 
 def age_bands_ordered(by_age_sex: DataFrame) -> DataFrame:

@@ -16,6 +16,10 @@ STUDY_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # split a hot join partition even when the split costs one more shuffle:
+    # joins here are often followed by aggregates that reuse the join's
+    # person_id partitioning, and without this AQE keeps a hot person whole
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",

@@ -105,3 +105,24 @@ def test_approx_opt_in_close_to_exact(spark):
         spread = (e.max_value - e.min_value) or 1.0
         for name in ("p25", "median_value", "p75"):
             assert abs(getattr(a, name) - getattr(e, name)) <= 0.05 * spread
+
+
+def test_weighted_stats_equal_expanded_rows(spark):
+    import random
+
+    rng = random.Random(5)
+    base = [(rng.choice("ab"), rng.randrange(30), float(rng.randrange(100)) / 4, rng.randrange(1, 6)) for _ in range(300)]
+    base.append(("c", 1, 2.5, 1))  # a one-row group: NULL standard deviation
+    weighted = spark.createDataFrame(base, "cohort string, person_id long, value_numeric double, w long")
+    expanded = spark.createDataFrame(
+        [(g, p, v) for g, p, v, w in base for _ in range(w)], "cohort string, person_id long, value_numeric double"
+    )
+    for local in ("0", None):
+        if local:
+            spark.conf.set("cohortspark.percentile.localLimit", local)
+        try:
+            a = sorted(tuple(r) for r in group_stats(weighted, ["cohort"], weight_col="w").collect())
+            b = sorted(tuple(r) for r in group_stats(expanded, ["cohort"]).collect())
+        finally:
+            spark.conf.unset("cohortspark.percentile.localLimit")
+        assert a == b
