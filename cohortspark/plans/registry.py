@@ -171,7 +171,7 @@ def _measurements_combined(spark, sf):
 
 @register("positive_measurements")
 def _positive_measurements(spark, sf):
-    return O.positive_measurements(load_study(spark, sf).measurement)
+    return O.positive_measurements(load_study(spark, sf).measurement).drop("measurement_row")
 
 
 @register("post_index_measurements")

@@ -57,9 +57,10 @@ def yyyymmdd(c, dtype: T.DataType):
     return c.try_cast("int")
 
 
-def conform(raw: DataFrame, schema: T.StructType) -> DataFrame:
+def conform(raw: DataFrame, schema: T.StructType, keep=()) -> DataFrame:
     """Lower-case the header names, keep the schema's columns, cast them
-    (dates normalised to yyyymmdd integers whatever their source form)."""
+    (dates normalised to yyyymmdd integers whatever their source form);
+    columns named in ``keep`` pass through unchanged."""
     lowered = raw.toDF(*[c.strip().lower() for c in raw.columns])
     types = {f.name: f.dataType for f in lowered.schema.fields}
     cols = []
@@ -68,6 +69,7 @@ def conform(raw: DataFrame, schema: T.StructType) -> DataFrame:
             cols.append(yyyymmdd(F.col(f.name), types[f.name]).alias(f.name))
         else:
             cols.append(F.col(f.name).try_cast(f.dataType).alias(f.name))
+    cols += [F.col(c) for c in keep if c in types]
     return lowered.select(*cols)
 
 

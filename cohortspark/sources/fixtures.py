@@ -74,9 +74,17 @@ def condition_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def scan_row_id() -> Column:
+    """A deterministic id per scanned parquet row (file path, row index):
+    stable across task retries and, unlike ``monotonically_increasing_id``,
+    no obstacle to filter pushdown."""
+    return F.xxhash64(F.col("_metadata.file_path"), F.col("_metadata.row_index"))
+
+
 def measurement_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = read_table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax", "l_shipdate"
+        "l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax", "l_shipdate",
+        scan_row_id().alias("measurement_row"),
     )
     o = (
         read_table(spark, sf_dir, "orders")
@@ -95,6 +103,7 @@ def measurement_view(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias("measurement_concept_id"),
         int_date(F.col("l_shipdate")).alias("measurement_date"),
         value.cast("double").alias("value_as_number"),
+        "measurement_row",
     )
 
 

@@ -86,3 +86,48 @@ def test_age_sex_report_preaggregates_hot_person(spark):
     # what reaches the join for the hot person: one row per distinct value
     pre = mc.groupBy("cohort", "person_id", "cohort_index_date", "value_numeric").count()
     assert pre.where(F.col("person_id") == 1).count() == 40
+
+
+def test_hot_person_of_identical_copies_is_salted(spark):
+    """Exact copies compress to nothing, so byte-based skew detection misses
+    them; the count-based salt still spreads them over several tasks."""
+    import tempfile
+
+    from cohortspark.operators.joins import ROWS_PER_SALT_CONF
+    from cohortspark.sources.fixtures import scan_row_id
+
+    path = tempfile.mkdtemp(prefix="cohortspark-copies-") + "/m"
+    copies = spark.range(0, 60000).select(
+        F.lit(1).cast("long").alias("person_id"), F.lit(3004501).alias("measurement_concept_id"),
+        F.lit(20200105).alias("measurement_date"), F.lit(7.5).alias("value_as_number"))
+    rest = spark.range(0, 120000).select(
+        (F.col("id") % 2000 + 2).alias("person_id"), F.lit(3004501).alias("measurement_concept_id"),
+        (F.lit(20200102) + F.col("id") % 20).cast("int").alias("measurement_date"),
+        (F.col("id") % 50 + 1).cast("double").alias("value_as_number"))
+    copies.unionByName(rest).repartition(8).write.parquet(path)
+    m = spark.read.parquet(path)
+    m = m.withColumn("measurement_row", scan_row_id())
+    cohorts = spark.range(1, 2002).select(
+        F.lit("CASE").alias("cohort"), F.col("id").alias("person_id"), F.lit(dt.date(2020, 1, 1)).alias("index_date"))
+
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.shuffle.partitions": "32", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k, None) for k in list(conf) + [ROWS_PER_SALT_CONF]}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        biggest = {}
+        for per_salt in ("1000000000", "5000"):
+            spark.conf.set(ROWS_PER_SALT_CONF, per_salt)
+            mc = O.extract_measurements(m, cohorts)
+            sizes = mc.groupBy(F.spark_partition_id().alias("p")).count().collect()
+            assert sum(r["count"] for r in sizes) == 180000
+            biggest[per_salt] = max(r["count"] for r in sizes)
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+    assert biggest["1000000000"] >= 60000  # unsalted: all copies in one task
+    assert biggest["5000"] < 30000  # salted: spread over ~12 tasks
