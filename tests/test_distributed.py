@@ -8,7 +8,6 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from cohortspark.operators.sampling import row_ids
 from cohortspark.operators.stats import exact_percentiles, group_stats

@@ -2,7 +2,6 @@
 
 import datetime as dt
 
-from pyspark.sql import functions as F
 
 from cohortspark.operators import cohorts as C
 from cohortspark.operators import demographics as D

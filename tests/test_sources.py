@@ -4,7 +4,6 @@ import os
 import tempfile
 
 import pytest
-from pyspark.sql import functions as F
 
 from cohortspark.sources import csv as CSV
 from cohortspark.sources.sinks import MissingTableError, export_frame, json_records, require_table, save_table
