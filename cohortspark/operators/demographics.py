@@ -14,11 +14,13 @@ from ..sources.dimensions import cohort_scaffold
 def gender_labels(person: DataFrame, concept: DataFrame) -> DataFrame:
     """Person with the label of its gender concept (NULL when unmapped).
 
-    The concept dimension is a literal of fixed size, so it is broadcast and
-    the person side is never shuffled for this join.
+    No broadcast hint: the built-in concept dimension is a small literal
+    whose exact size lets the planner broadcast it (the person side then
+    never moves), while a full user-supplied concept table is only
+    broadcast if its size passes the planner's threshold.
     """
     labels = concept.select(F.col("concept_id").alias("gender_concept_id"), F.col("concept_name").alias("gender"))
-    return person.join(F.broadcast(labels), "gender_concept_id", "left")
+    return person.join(labels, "gender_concept_id", "left")
 
 
 def cohort_persons(cohorts: DataFrame, person: DataFrame) -> DataFrame:

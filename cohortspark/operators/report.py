@@ -27,15 +27,16 @@ def disease_list(
 ) -> DataFrame:
     """Patients per offered disease with its label, most common first.
 
-    Counts first, then the (fixed-size, broadcast) label join on the few
-    aggregated rows; a missing or empty label falls back to 'Condition <id>'.
+    Counts first, then the label join on the few aggregated rows (the
+    planner broadcasts whichever side its size check allows); a missing or
+    empty label falls back to 'Condition <id>'.
     """
     counts = (
         condition.where(F.col("condition_concept_id").isin([int(i) for i in disease_ids]))
         .groupBy(F.col("condition_concept_id").alias("concept_id"))
         .agg(F.count_distinct("person_id").alias("patient_count"))
     )
-    labelled = counts.join(F.broadcast(concept), "concept_id", "left")
+    labelled = counts.join(concept, "concept_id", "left")
     return labelled.select(
         "concept_id",
         label_or_fallback(F.col("concept_name"), F.col("concept_id")).alias("name"),

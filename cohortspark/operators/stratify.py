@@ -23,13 +23,11 @@ def with_age_band_and_gender(rows: DataFrame, person: DataFrame, concept: DataFr
     age band and gender label at index; rows lacking either are left out.
 
     The join is on ``person_id`` alone; the person side (one row per person,
-    gender label from the broadcast fixed-size concept dimension) is the
-    side that moves.
+    gender label from the concept dimension, broadcast by the planner when
+    its size allows) is the side that moves.
     """
     labels = concept.select(F.col("concept_id").alias("gender_concept_id"), F.col("concept_name").alias("gender"))
-    p = person.select("person_id", "gender_concept_id", "year_of_birth").join(
-        F.broadcast(labels), "gender_concept_id", "left"
-    )
+    p = person.select("person_id", "gender_concept_id", "year_of_birth").join(labels, "gender_concept_id", "left")
     age = (F.year("cohort_index_date") - F.col("year_of_birth")).cast("int")
     keep = [c for c in rows.columns if c not in ("cohort_index_date",)]
     return (
