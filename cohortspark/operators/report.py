@@ -31,12 +31,16 @@ def disease_list(
     planner broadcasts whichever side its size check allows); a missing or
     empty label falls back to 'Condition <id>'.
     """
+    ids = [int(i) for i in disease_ids]
     counts = (
-        condition.where(F.col("condition_concept_id").isin([int(i) for i in disease_ids]))
+        condition.where(F.col("condition_concept_id").isin(ids))
         .groupBy(F.col("condition_concept_id").alias("concept_id"))
         .agg(F.count_distinct("person_id").alias("patient_count"))
     )
-    labelled = counts.join(concept, "concept_id", "left")
+    # only the requested labels: a filter that reaches a parquet concept
+    # table's scan and leaves a side bounded by the request
+    labels = concept.where(F.col("concept_id").isin(ids))
+    labelled = counts.join(labels, "concept_id", "left")
     return labelled.select(
         "concept_id",
         label_or_fallback(F.col("concept_name"), F.col("concept_id")).alias("name"),
