@@ -48,6 +48,20 @@ def first_event(events: DataFrame, date_col: str = "measurement_date") -> DataFr
     )
 
 
+def measurement_activity(measurement: DataFrame) -> DataFrame:
+    """Per person: first measurement date (parsed) and number of rows.
+
+    One partial aggregation over the measurement table serving two needs:
+    the control index date and the row counts that decide which persons are
+    salted in the outcome join.
+    """
+    return (
+        measurement.groupBy("person_id")
+        .agg(F.min("measurement_date").alias("_first"), F.count(F.lit(1)).alias("n_rows"))
+        .select("person_id", parse_yyyymmdd(F.col("_first")).alias("index_date"), "n_rows")
+    )
+
+
 def non_case_persons(person: DataFrame, cases: DataFrame) -> DataFrame:
     """Persons not in the case cohort (a true anti join, not outer + IS NULL)."""
     return person.join(cases.select("person_id"), "person_id", "left_anti")
@@ -58,9 +72,16 @@ def control_index_dates(
     cases: DataFrame,
     measurement: DataFrame,
     default_index_date: dt.date | None = model.DEFAULT_INDEX_DATE,
+    activity: DataFrame | None = None,
 ) -> DataFrame:
-    """Non-case persons with their first measurement date and resolved index."""
-    first = first_event(measurement).withColumnRenamed("index_date", "first_measurement_date")
+    """Non-case persons with their first measurement date and resolved index.
+
+    ``activity`` (optional) is a precomputed ``measurement_activity`` frame,
+    so a study that needs the per-person measurement aggregate elsewhere
+    computes it once.
+    """
+    first_frame = activity.select("person_id", "index_date") if activity is not None else first_event(measurement)
+    first = first_frame.withColumnRenamed("index_date", "first_measurement_date")
     default = F.lit(default_index_date) if default_index_date is not None else F.lit(None).cast("date")
     return (
         non_case_persons(person.select("person_id"), cases)
@@ -79,9 +100,12 @@ def control_cohort(
     cases: DataFrame,
     measurement: DataFrame,
     default_index_date: dt.date | None = model.DEFAULT_INDEX_DATE,
+    activity: DataFrame | None = None,
 ) -> DataFrame:
     """Everyone not a case; index = first measurement, else the default date."""
-    return control_index_dates(person, cases, measurement, default_index_date).select("person_id", "index_date")
+    return control_index_dates(person, cases, measurement, default_index_date, activity).select(
+        "person_id", "index_date"
+    )
 
 
 def cohort_union(cases: DataFrame, controls: DataFrame) -> DataFrame:

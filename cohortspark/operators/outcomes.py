@@ -38,7 +38,7 @@ def positive_measurements(measurement: DataFrame) -> DataFrame:
     )
 
 
-def post_index_measurements(measurement: DataFrame, cohorts: DataFrame) -> DataFrame:
+def post_index_measurements(measurement: DataFrame, cohorts: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """Every measurement of a cohort member dated on or after the index date.
 
     Equi-join on person_id (salted for persons with very many rows, see
@@ -47,23 +47,25 @@ def post_index_measurements(measurement: DataFrame, cohorts: DataFrame) -> DataF
     """
     m = parsed_measurements(measurement)
     c = cohorts.select("cohort", "person_id", F.col("index_date").alias("cohort_index_date"))
-    joined = salted_join(m, c, "person_id", _rows_per_person(m))
+    joined = salted_join(m, c, "person_id", counts if counts is not None else _rows_per_person(m))
     return joined.where(F.col("measurement_date") >= F.col("cohort_index_date")).drop(ROW_ID)
 
 
-def extract_measurements(measurement: DataFrame, cohorts: DataFrame) -> DataFrame:
+def extract_measurements(measurement: DataFrame, cohorts: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """The analysis table: positive values on/after index, both cohorts.
 
     One join over the tagged cohort union; persons are in exactly one cohort,
     so each measurement row appears at most once. A person with very many
     rows (even exact copies) is split by row count across several join
     tasks (``joins.salted_join``); AQE's byte-based skew splitting remains as
-    a second line.
+    a second line. ``counts`` (person_id, n_rows) may come from an aggregate
+    the caller already has (any upper bound of the rows per person works);
+    otherwise it is computed here.
     """
     m = positive_measurements(measurement)
     c = cohorts.select("cohort", "person_id", F.col("index_date").alias("cohort_index_date"))
     return (
-        salted_join(m, c, "person_id", _rows_per_person(m))
+        salted_join(m, c, "person_id", counts if counts is not None else _rows_per_person(m))
         .where(F.col("measurement_date") >= F.col("cohort_index_date"))
         .select(
             "person_id",

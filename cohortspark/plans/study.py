@@ -24,6 +24,7 @@ from ..operators import stats as S
 from ..operators import stratify as T
 from ..sources import model
 from ..sources.dimensions import catalogue_frame, clamp_bounds_frame
+from ..session import materialize
 from ..sources.fixtures import StudyTables
 
 
@@ -46,9 +47,18 @@ class Study:
     def case(self) -> DataFrame:
         return C.case_cohort(self.t.condition, self.disease_id)
 
+    @cached_property
+    def activity(self) -> DataFrame:
+        """Per-person first measurement date and row count, aggregated once
+        and written: the control index and the outcome join's salting both
+        read it, so the measurement table is not aggregated twice."""
+        return materialize(C.measurement_activity(self.t.measurement), "person_activity")
+
     @cached_property
     def control(self) -> DataFrame:
-        return C.control_cohort(self.t.person, self.case, self.t.measurement, self.default_index_date)
+        return C.control_cohort(
+            self.t.person, self.case, self.t.measurement, self.default_index_date, activity=self.activity
+        )
 
     @cached_property
     def cohorts(self) -> DataFrame:
@@ -74,7 +84,8 @@ class Study:
 
     @cached_property
     def measurements(self) -> DataFrame:
-        return O.extract_measurements(self.analyte_measurements, self.cohorts)
+        counts = self.activity.select("person_id", "n_rows")  # all rows: an upper bound per person
+        return O.extract_measurements(self.analyte_measurements, self.cohorts, counts)
 
     @cached_property
     def summary(self) -> DataFrame:
