@@ -260,19 +260,19 @@ def _weighted_stddev(df: DataFrame, G, value_col: str, weight_col: str) -> DataF
     """Sample standard deviation of count-weighted rows, two-pass (group
     mean first, then weighted squared deviations), so it stays as stable as
     the unweighted ``stddev_samp``. NULL for fewer than two rows."""
-    key = G or ["__all"]
-    rows = df if G else df.withColumn("__all", F.lit(0))
     v, w = F.col(value_col), F.col(weight_col)
-    means = rows.where(v.isNotNull()).groupBy(*key).agg(
-        (F.sum(v * w) / F.sum(w)).alias("_mean"), F.sum(w).alias("_n")
-    )
-    dev = join_null_safe(rows.where(v.isNotNull()), means, key, "inner")
-    ss = dev.groupBy(*key).agg(
+    rows = df.where(v.isNotNull())
+    if not G:
+        # ungrouped: the mean is one value, attached as a scalar subquery
+        mean = rows.agg((F.sum(v * w) / F.sum(w)).alias("m")).scalar()
+        ss = rows.agg(F.sum(w * (v - mean) * (v - mean)).alias("_ss"), F.sum(w).alias("_n"))
+        return ss.select(F.when(F.col("_n") > 1, F.sqrt(F.col("_ss") / (F.col("_n") - 1))).alias("std_dev"))
+    means = rows.groupBy(*G).agg((F.sum(v * w) / F.sum(w)).alias("_mean"), F.sum(w).alias("_n"))
+    dev = join_null_safe(rows, means, G, "inner")
+    ss = dev.groupBy(*G).agg(
         F.sum(w * (v - F.col("_mean")) * (v - F.col("_mean"))).alias("_ss"), F.max("_n").alias("_n")
     )
-    sd = F.when(F.col("_n") > 1, F.sqrt(F.col("_ss") / (F.col("_n") - 1)))
-    out = ss.select(*key, sd.alias("std_dev"))
-    return out if G else out.drop("__all")
+    return ss.select(*G, F.when(F.col("_n") > 1, F.sqrt(F.col("_ss") / (F.col("_n") - 1))).alias("std_dev"))
 
 
 def _approx_stats(df, G, stats, value_col, person_col, dp, accuracy) -> DataFrame:
@@ -292,12 +292,12 @@ def _approx_stats(df, G, stats, value_col, person_col, dp, accuracy) -> DataFram
     return out.select(*G, *cols)
 
 
-def _attach_global(one_row: DataFrame, p: DataFrame) -> DataFrame:
-    """Attach a global (ungrouped) percentile row to a global aggregate row.
-
-    Both frames hold at most one row; joining on a constant tag keeps the
-    plan an equi-join.
-    """
-    a = one_row.withColumn("__tag", F.lit(0))
-    b = p.withColumn("__tag", F.lit(0))
-    return a.join(b, "__tag", "left").drop("__tag")
+def _attach_global(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Combine two one-row global aggregates into one row without a join:
+    each is padded with NULLs for the other's columns, the two rows are
+    unioned and collapsed by a global aggregate (first non-NULL per column)."""
+    ca, cb = list(a.columns), [c for c in b.columns if c not in a.columns]
+    pad_a = a.select(*ca, *[F.lit(None).cast(b.schema[c].dataType).alias(c) for c in cb])
+    pad_b = b.select(*[F.lit(None).cast(a.schema[c].dataType).alias(c) for c in ca], *cb)
+    both = pad_a.unionByName(pad_b)
+    return both.agg(*[F.first(c, ignorenulls=True).alias(c) for c in ca + cb])

@@ -125,3 +125,36 @@ def test_weighted_stats_equal_expanded_rows(spark):
         finally:
             spark.conf.unset("cohortspark.percentile.localLimit")
         assert a == b
+
+
+def test_global_stats_without_groups_match_duckdb(spark):
+    import duckdb
+
+    from cohortspark.plans.oracle import BOX, r
+
+    rows = [(p, v) for _, p, v in skewed_rows(2000, seed=3)]
+    df = spark.createDataFrame(rows, "person_id long, value_numeric double")
+    out = group_stats(df, [])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    got = tuple(out.collect()[0])
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t(person_id BIGINT, value_numeric DOUBLE)")
+    con.executemany("INSERT INTO t VALUES (?, ?)", rows)
+    want = con.execute(
+        f"""SELECT COUNT(*), COUNT(DISTINCT person_id), {r('AVG(value_numeric)', 2)},
+            {r('MEDIAN(value_numeric)', 2)},
+            {r('PERCENTILE_CONT(0.25) WITHIN GROUP (ORDER BY value_numeric)', 2)},
+            {r('PERCENTILE_CONT(0.75) WITHIN GROUP (ORDER BY value_numeric)', 2)},
+            {r('MIN(value_numeric)', 2)}, {r('MAX(value_numeric)', 2)}, {r('STDDEV(value_numeric)', 2)} FROM t"""
+    ).fetchone()
+    assert len(BOX) == len(got) and got == tuple(want)
+
+
+def test_global_weighted_stats_equal_expanded(spark):
+    base = [(i % 7, float(i % 11) / 2, 1 + i % 3) for i in range(200)]
+    weighted = spark.createDataFrame(base, "person_id long, value_numeric double, w long")
+    expanded = spark.createDataFrame([(p, v) for p, v, w in base for _ in range(w)], "person_id long, value_numeric double")
+    a = group_stats(weighted, [], weight_col="w")
+    assert "CartesianProduct" not in a._jdf.queryExecution().executedPlan().toString()
+    assert tuple(a.collect()[0]) == tuple(group_stats(expanded, []).collect()[0])
