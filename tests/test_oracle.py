@@ -43,3 +43,19 @@ def test_distributed_percentile_path_matches_oracle(spark, con, key):
     finally:
         spark.conf.unset(LOCAL_PERCENTILE_CONF)
     assert not problems, problems
+
+
+GATE_SF = "/root/testdata/sf0.01"
+GATE_KEYS = ["measurements_combined", "measurement_summary", "measurement_by_age_sex", "measurement_seq",
+             "build_cohorts", "demographic_profile"]
+
+
+@pytest.fixture(scope="module")
+def gate_con():
+    return duck(GATE_SF)
+
+
+@pytest.mark.parametrize("key", GATE_KEYS)
+def test_heavy_queries_match_oracle_at_gate_scale(spark, gate_con, key):
+    problems, _ = compare(QUERIES[key](spark, GATE_SF), gate_con, ORACLE[key])
+    assert not problems, problems
