@@ -92,7 +92,7 @@ def _non_case_persons(spark, sf):
 @register("control_index_dates")
 def _control_index_dates(spark, sf):
     s = study(spark, sf)
-    return C.control_index_dates(s.t.person, s.case, s.t.measurement, activity=s.activity)
+    return C.control_index_dates(s.t.person, s.case, s.t.measurement)
 
 
 @register("not_in_cohort")
@@ -177,7 +177,8 @@ def _positive_measurements(spark, sf):
 @register("post_index_measurements")
 def _post_index_measurements(spark, sf):
     s = study(spark, sf)
-    return O.post_index_measurements(s.t.measurement, s.cohorts, s.activity.select("person_id", "n_rows"))
+    counts = s.salting_counts()  # before the cohorts: one shared per-person aggregate
+    return O.post_index_measurements(s.t.measurement, s.cohorts, counts)
 
 
 @register("days_from_index")

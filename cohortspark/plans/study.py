@@ -41,6 +41,7 @@ class Study:
         self.disease_id = int(disease_id)
         self.measurement_concept_id = measurement_concept_id
         self.default_index_date = default_index_date
+        self._share_activity = False
 
     # -- cohorts ---------------------------------------------------------
     @cached_property
@@ -50,14 +51,18 @@ class Study:
     @cached_property
     def activity(self) -> DataFrame:
         """Per-person first measurement date and row count, aggregated once
-        and written: the control index and the outcome join's salting both
-        read it, so the measurement table is not aggregated twice."""
+        and written. Used when the outcome join is part of the work: then
+        the control index and the join's salting both read it, and the
+        measurement table is aggregated once instead of twice."""
         return materialize(C.measurement_activity(self.t.measurement), "person_activity")
 
     @cached_property
     def control(self) -> DataFrame:
+        # reports that never reach the outcome join keep the plain lazy
+        # first-measurement aggregate (no write); see ``measurements``
+        activity = self.activity if self._share_activity else None
         return C.control_cohort(
-            self.t.person, self.case, self.t.measurement, self.default_index_date, activity=self.activity
+            self.t.person, self.case, self.t.measurement, self.default_index_date, activity=activity
         )
 
     @cached_property
@@ -82,9 +87,18 @@ class Study:
             m = m.where(F.col("measurement_concept_id") == int(self.measurement_concept_id))
         return m
 
+    def salting_counts(self) -> DataFrame | None:
+        """Rows per person for the outcome join's salting, from the shared
+        aggregate (all rows: an upper bound per person). Call it before the
+        cohorts are built so the control cohort reads the same aggregate;
+        None when the control cohort was already built on its own."""
+        if "control" not in self.__dict__:
+            self._share_activity = True
+        return self.activity.select("person_id", "n_rows") if self._share_activity else None
+
     @cached_property
     def measurements(self) -> DataFrame:
-        counts = self.activity.select("person_id", "n_rows")  # all rows: an upper bound per person
+        counts = self.salting_counts()
         return O.extract_measurements(self.analyte_measurements, self.cohorts, counts)
 
     @cached_property
@@ -127,8 +141,8 @@ class Study:
     # -- SQL surface and the derived-table build ---------------------------
     def frames(self) -> dict[str, DataFrame]:
         """The study's inputs and derived tables under their table names."""
+        mc = self.measurements  # first, so the cohorts share the per-person aggregate
         demog = self.demographics
-        mc = self.measurements
         return {
             "person": self.t.person,
             "condition_occurrence": self.t.condition,
