@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import csv as CSV
-from . import model
 from .dimensions import concept_frame
 from .fixtures import StudyTables, scan_row_id
 
@@ -53,4 +52,4 @@ def load_extract(
     )
 
 
-__all__ = ["load_extract", "TABLES", "model"]
+__all__ = ["load_extract", "TABLES"]
