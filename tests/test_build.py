@@ -22,3 +22,24 @@ def test_build_from_csv_extract(spark, tables):
     assert sorted(os.listdir(out)) == ["age_sex_pivot", "box_plot", "summary_card"]
     for name in built.values():
         spark.sql(f"DROP TABLE {name}")
+
+
+def test_parquet_extract_with_dates_and_row_ids(spark, tables):
+    from pyspark.sql import functions as F
+
+    from cohortspark.sources.extract import load_extract
+
+    src = tempfile.mkdtemp(prefix="cohortspark-pq-")
+    tables.person.toDF(*[c.upper() for c in tables.person.columns]).write.parquet(os.path.join(src, "person"))
+    tables.condition.write.parquet(os.path.join(src, "condition_occurrence"))
+    # measurement dates stored as real DATE values this time
+    m = tables.measurement.drop("measurement_row").withColumn(
+        "measurement_date", F.to_date(F.col("measurement_date").cast("string"), "yyyyMMdd"))
+    m.write.parquet(os.path.join(src, "measurement"))
+    t = load_extract(spark, src, "parquet")
+    assert "measurement_row" in t.measurement.columns
+    n = t.measurement.count()
+    assert t.measurement.select("measurement_row").distinct().count() == n
+    want = sorted(tables.measurement.drop("measurement_row").collect())
+    assert sorted(t.measurement.drop("measurement_row").collect()) == want
+    assert sorted(t.person.collect()) == sorted(tables.person.collect())
