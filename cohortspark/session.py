@@ -23,8 +23,6 @@ STUDY_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
-    # checkpoint files of frames that went out of scope are removed
-    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
