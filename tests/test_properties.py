@@ -44,3 +44,21 @@ def test_row_ids_property(spark, rows, slices, chunk):
     assert sorted(r.rid for r in out) == list(range(1, len(rows) + 1))
     by_id = [(r.b, r.a) for r in sorted(out, key=lambda r: r.rid)]
     assert by_id == sorted((b, a) for a, b in rows)
+
+
+@SETTINGS
+@given(big=st.lists(st.tuples(st.integers(0, 5), st.integers(0, 3)), min_size=1, max_size=120),
+       per_salt=st.integers(1, 40), with_ids=st.booleans())
+def test_salted_join_equals_plain_join(spark, big, per_salt, with_ids):
+    from pyspark.sql import functions as F
+
+    from cohortspark.operators.joins import salted_join
+
+    b = spark.createDataFrame(big, "person_id long, v int")
+    if with_ids:
+        b = b.withColumn("measurement_row", F.monotonically_increasing_id())
+    small = spark.createDataFrame([(k, f"c{k}") for k in range(0, 5)], "person_id long, cohort string")
+    counts = b.groupBy("person_id").agg(F.count(F.lit(1)).alias("n_rows"))
+    got = sorted((r.person_id, r.v, r.cohort) for r in salted_join(b, small, "person_id", counts, per_salt).collect())
+    want = sorted((r.person_id, r.v, r.cohort) for r in b.join(small, "person_id").collect())
+    assert got == want
