@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -42,25 +41,20 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder (``spark.checkpoint.dir``).
+    """The session's shared folder for written intermediate tables.
 
-    Read from the session. Only a local-mode session without one gets a fresh
-    private folder (tests, benchmarks); a cluster session without one is a
-    configuration error, since a machine-local folder would not survive the
-    loss of that machine.
+    Taken from the session's configuration only: ``spark.checkpoint.dir``,
+    or, where that is unset, a folder under ``spark.sql.warehouse.dir``
+    (which every executor shares as well). Never a machine-local temporary
+    folder, which would not survive the loss of that machine.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
-    if current:
-        return current
-    conf = spark.conf.get("spark.checkpoint.dir", None)
-    if conf:
-        sc.setCheckpointDir(conf)
-        return sc.getCheckpointDir() or conf
-    if not sc.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="cohortspark-ckpt-"))
-    return sc.getCheckpointDir()
+    if not current:
+        conf = spark.conf.get("spark.checkpoint.dir", None)
+        sc.setCheckpointDir(conf or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
+        current = sc.getCheckpointDir()
+    return current
 
 
 _SCRATCH: list[str] = []
