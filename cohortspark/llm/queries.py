@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .quality_classifier import op10_quality_classifier
 from .simhash_dedup import op8_simhash_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op8_simhash_dedup": op8_simhash_dedup,
+        "op10_quality_classifier": op10_quality_classifier,
     }
 
 
