@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import op1_decontaminate
 from .quality_classifier import op10_quality_classifier
 from .secret_scan import op7_secret_scan
 from .simhash_dedup import op8_simhash_dedup
@@ -13,6 +14,7 @@ from .simhash_dedup import op8_simhash_dedup
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_decontaminate": op1_decontaminate,
         "op7_secret_scan": op7_secret_scan,
         "op8_simhash_dedup": op8_simhash_dedup,
         "op10_quality_classifier": op10_quality_classifier,
