@@ -6,18 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
+
 from .decontaminate import op1_decontaminate
 from .quality_classifier import op10_quality_classifier
 from .secret_scan import op7_secret_scan
+from .sentencepiece_lattice import op3_sentencepiece
 from .simhash_dedup import op8_simhash_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": op1_decontaminate,
+        "op3_sentencepiece": op3_sentencepiece,
         "op7_secret_scan": op7_secret_scan,
         "op8_simhash_dedup": op8_simhash_dedup,
         "op10_quality_classifier": op10_quality_classifier,
+        "pipeline": corpus_pipeline.run,
     }
 
 

@@ -80,15 +80,17 @@ def simhash(hashes: np.ndarray) -> int:
 
 
 def fingerprints(docs: DataFrame, k: int = 3) -> DataFrame:
-    """(doc_id, fp): one row per document; fp is the fingerprint as a signed long."""
+    """(doc_id, text_hash, fp): one row per document; fp is the fingerprint as a
+    signed long."""
 
     def compute(parts):
         for part in parts:
-            texts = part.column(1).cast(pa.large_binary())
+            texts = part.column(2).cast(pa.large_binary())
             out = np.fromiter((simhash(shingle_hashes(t.as_py(), k)) for t in texts), np.int64, part.num_rows)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out)], ["doc_id", "text_hash", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).mapInArrow(compute, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(whole_text()).alias("text_hash"), whole_text().alias("text"))
+    return rows.mapInArrow(compute, "doc_id long, text_hash long, fp long")
 
 
 def _bits(fps: np.ndarray) -> np.ndarray:
@@ -254,16 +256,40 @@ def links(fps: DataFrame, max_distance: int = 2, parts: int = 3, cell_bits: int
     return verified.union(crowd)
 
 
-def near_duplicates(docs: DataFrame, k: int = 3, max_distance: int = 2) -> DataFrame:
-    """(doc_id, fp, component_id): one row per document; component_id is the
-    smallest doc_id that paths of links reach."""
+def classified(docs: DataFrame, k: int, max_distance: int) -> DataFrame:
+    """(doc_id, text_hash, fp, root, component_id): one row per document; root
+    names its class by a fingerprint."""
     rows = materialize(fingerprints(docs, k), "simhash-fps")
     classes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-classes")
     joined = components(links(classes.select("fp"), max_distance))
     named = classes.join(joined.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = named.join(least, "root").select("fp", "component_id")
-    return rows.join(of, "fp").select("doc_id", "fp", "component_id")
+    of = named.join(least, "root").select("fp", "root", "component_id")
+    return rows.join(of, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, k: int = 3, max_distance: int = 2) -> DataFrame:
+    """(doc_id, fp, component_id): one row per document; component_id is the
+    smallest doc_id that paths of links reach."""
+    return classified(docs, k, max_distance).select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, k: int = 3, max_distance: int = 2) -> DataFrame:
+    """One document of each class, as it is: the one with the smallest doc_id
+    (null last), of those the one with the smallest text hash; of rows that
+    agree in both, one."""
+    rows = materialize(classified(docs, k, max_distance).groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("n")), "simhash-members")
+    best = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "text_hash", "n")).alias("b")).select("b.*")
+    best = materialize(best, "simhash-kept")
+    at = lambda d, kept: d["doc_id"].cast("long").eqNullSafe(kept["doc_id"]) & (F.xxhash64(F.coalesce(d["text"].cast("string"), F.lit(""))) == kept["text_hash"])
+    single, repeated = best.where("n = 1"), best.where("n > 1")
+    out = docs.join(single, at(docs, single), "left_semi")
+    if repeated.isEmpty():
+        return out
+    again = docs.join(repeated, at(docs, repeated), "left_semi")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    keys = [F.col("doc_id").cast("long").alias("k1"), F.xxhash64(whole_text()).alias("k2")]
+    return out.unionByName(again.groupBy(*keys).agg(F.first(row).alias("row")).select("row.*"))
 
 
 def op8_simhash_dedup(spark, sf_dir: str) -> DataFrame:
