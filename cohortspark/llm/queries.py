@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
+from .ann_search import op2_ann_search
 from .decontaminate import op1_decontaminate
+from .license_scan import op9_license_scan
 from .quality_classifier import op10_quality_classifier
 from .secret_scan import op7_secret_scan
 from .sentencepiece_lattice import op3_sentencepiece
@@ -18,9 +20,11 @@ from .simhash_dedup import op8_simhash_dedup
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": op1_decontaminate,
+        "op2_ann_search": op2_ann_search,
         "op3_sentencepiece": op3_sentencepiece,
         "op7_secret_scan": op7_secret_scan,
         "op8_simhash_dedup": op8_simhash_dedup,
+        "op9_license_scan": op9_license_scan,
         "op10_quality_classifier": op10_quality_classifier,
         "pipeline": corpus_pipeline.run,
     }
