@@ -15,6 +15,8 @@ from .quality_classifier import op10_quality_classifier
 from .secret_scan import op7_secret_scan
 from .sentencepiece_lattice import op3_sentencepiece
 from .simhash_dedup import op8_simhash_dedup
+from .token_counts import op6_token_counts
+from .url_filter import op4_url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +24,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_decontaminate": op1_decontaminate,
         "op2_ann_search": op2_ann_search,
         "op3_sentencepiece": op3_sentencepiece,
+        "op4_url_filter": op4_url_filter,
+        "op6_token_counts": op6_token_counts,
         "op7_secret_scan": op7_secret_scan,
         "op8_simhash_dedup": op8_simhash_dedup,
         "op9_license_scan": op9_license_scan,
