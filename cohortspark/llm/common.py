@@ -1,12 +1,14 @@
-"""What the operators share: table reading, whole texts, word and shingle helpers."""
+"""What the operators share: table reading, whole texts, free names, bucketed copies."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -25,15 +27,11 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def batches(rows: Iterator, budget: int, cost) -> Iterator[list]:
-    """Lists of consecutive rows whose summed cost passes ``budget`` with the
-    last one only (a row above it makes a list of its own)."""
-    held, size = [], 0
-    for row in rows:
-        held.append(row)
-        size += cost(row)
-        if size >= budget:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
+def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """``df`` written once to the shared folder, bucketed by ``key``: later joins
+    and groups on it move only the other side."""
+    spark = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}".replace("-", "_")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.option("compression", "zstd").option("path", scratch_path(spark, name)).bucketBy(buckets, key).saveAsTable(table)
+    return spark.table(table)

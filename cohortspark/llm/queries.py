@@ -12,6 +12,7 @@ from .ann_search import op2_ann_search
 from .decontaminate import op1_decontaminate
 from .license_scan import op9_license_scan
 from .quality_classifier import op10_quality_classifier
+from .repeated_spans import op5_repeated_spans
 from .secret_scan import op7_secret_scan
 from .sentencepiece_lattice import op3_sentencepiece
 from .simhash_dedup import op8_simhash_dedup
@@ -25,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_ann_search": op2_ann_search,
         "op3_sentencepiece": op3_sentencepiece,
         "op4_url_filter": op4_url_filter,
+        "op5_repeated_spans": op5_repeated_spans,
         "op6_token_counts": op6_token_counts,
         "op7_secret_scan": op7_secret_scan,
         "op8_simhash_dedup": op8_simhash_dedup,
