@@ -12,18 +12,18 @@ TABLES = ["person", "condition_occurrence", "measurement"]
 
 
 def _read(spark: SparkSession, path: str, table: str, fmt: str, infer_schema: bool) -> DataFrame:
-    if fmt == "csv":
-        return CSV.read_table_csv(spark, path, table, infer_schema=infer_schema)
-    if fmt == "csv-positional":
-        if table != "measurement":
-            return CSV.read_table_csv(spark, path, table, infer_schema=infer_schema)
-        return CSV.read_measurement_positional(spark, path)
+    # measurements carry a per-row id from the scan, used to spread a hot person's rows
+    row_id = table == "measurement"
+    if fmt == "csv-positional" and row_id:
+        return CSV.read_measurement_positional(spark, path, row_id=True)
+    if fmt in ("csv", "csv-positional"):
+        return CSV.read_table_csv(spark, path, table, infer_schema=infer_schema, row_id=row_id)
     raw = spark.read.format(fmt).load(path)
-    if table == "measurement" and fmt == "parquet":
-        # a per-row id from the scan, used to spread a hot person's rows
-        raw = raw.withColumn("measurement_row", scan_row_id())
-        return CSV.conform(raw, CSV.SCHEMAS[table], keep=["measurement_row"])
-    return CSV.conform(raw, CSV.SCHEMAS[table])
+    if not row_id:
+        return CSV.conform(raw, CSV.SCHEMAS[table])
+    # parquet numbers its rows, which leaves filter pushdown alone
+    raw = raw.withColumn(CSV.ROW_ID, scan_row_id() if fmt == "parquet" else CSV.any_row_id())
+    return CSV.conform(raw, CSV.SCHEMAS[table], keep=[CSV.ROW_ID])
 
 
 def load_extract(

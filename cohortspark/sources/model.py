@@ -92,6 +92,9 @@ FEMALE_LABEL = "Female"
 CASE = "CASE"
 CONTROL = "CONTROL"
 
+# Disease name in the profile's display labels.
+DISEASE_SHORT_LABEL = "Diabetes"
+
 # Labels of the cohort-count endpoint.
 CASE_LABEL = "Disease"
 CONTROL_LABEL = "Non-disease"
@@ -116,19 +119,6 @@ CLAMP_BOUNDS_ROWS = [
     ("CONTROL", 3004249, 95.0, 140.0),
 ]
 
-# Category weights for the follow-up analyte draw, per cohort:
-# (concept id, weight) in the order the cumulative table is built.
-ANALYTE_WEIGHTS = {
-    "CASE": [(3000963, 0.20), (3004501, 0.40), (3012888, 0.20), (3004249, 0.20)],
-    "CONTROL": [(3000963, 0.25), (3004501, 0.25), (3012888, 0.25), (3004249, 0.25)],
-}
-
-# Follow-up visit counts: k = rint(base + span * u), per cohort.
-FOLLOW_UP_COUNTS = {"CASE": (3.0, 7.0), "CONTROL": (2.0, 6.0)}
-
-# Visit offsets are 0..FOLLOW_UP_DAYS days after the index date.
-FOLLOW_UP_DAYS = 365
-
 # Share of controls kept by the control sample.
 CONTROL_SAMPLE_RATE = 0.2
 

@@ -19,8 +19,10 @@ def require_table(spark: SparkSession, name: str, hint: str = "") -> None:
         raise MissingTableError(f"{msg}; {hint}" if hint else msg)
 
 
-def save_table(df: DataFrame, name: str, bucket_by: str | None = None, buckets: int | None = None) -> None:
-    """Create-or-replace a derived table.
+def save_table(
+    df: DataFrame, name: str, bucket_by: str | None = None, buckets: int | None = None, path: str | None = None
+) -> None:
+    """Create-or-replace a derived table, in the warehouse or under ``path``.
 
     With ``bucket_by='person_id'`` (same bucket count for every person-keyed
     table) later person joins read co-partitioned buckets without a shuffle.
@@ -28,11 +30,11 @@ def save_table(df: DataFrame, name: str, bucket_by: str | None = None, buckets:
     if bucket_by:
         n = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         # one writer per bucket, so each bucket is one file rather than one per task
-        df.repartition(n, bucket_by).write.mode("overwrite").format("parquet").bucketBy(n, bucket_by).sortBy(
-            bucket_by
-        ).saveAsTable(name)
+        w = df.repartition(n, bucket_by).write.bucketBy(n, bucket_by).sortBy(bucket_by)
     else:
-        df.write.mode("overwrite").format("parquet").saveAsTable(name)
+        w = df.write
+    w = w.mode("overwrite").format("parquet")
+    (w.option("path", path) if path else w).saveAsTable(name)
 
 
 def json_records(df: DataFrame, renames: Mapping[str, str] | None = None, keep: Sequence[str] = ()) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from cohortspark.operators import outcomes as O
@@ -88,12 +89,14 @@ def test_age_sex_report_preaggregates_hot_person(spark):
     assert pre.where(F.col("person_id") == 1).count() == 40
 
 
-def test_hot_person_of_identical_copies_is_salted(spark):
+@pytest.mark.parametrize("fmt", ["parquet", "csv"])
+def test_hot_person_of_identical_copies_is_salted(spark, fmt):
     """Exact copies compress to nothing, so byte-based skew detection misses
     them; the count-based salt still spreads them over several tasks."""
     import tempfile
 
     from cohortspark.operators.joins import ROWS_PER_SALT_CONF
+    from cohortspark.sources.csv import read_table_csv
     from cohortspark.sources.fixtures import scan_row_id
 
     path = tempfile.mkdtemp(prefix="cohortspark-copies-") + "/m"
@@ -104,9 +107,13 @@ def test_hot_person_of_identical_copies_is_salted(spark):
         (F.col("id") % 2000 + 2).alias("person_id"), F.lit(3004501).alias("measurement_concept_id"),
         (F.lit(20200102) + F.col("id") % 20).cast("int").alias("measurement_date"),
         (F.col("id") % 50 + 1).cast("double").alias("value_as_number"))
-    copies.unionByName(rest).repartition(8).write.parquet(path)
-    m = spark.read.parquet(path)
-    m = m.withColumn("measurement_row", scan_row_id())
+    all_rows = copies.unionByName(rest).repartition(8)
+    if fmt == "csv":
+        all_rows.write.option("header", True).csv(path)
+        m = read_table_csv(spark, path, "measurement", row_id=True)
+    else:
+        all_rows.write.parquet(path)
+        m = spark.read.parquet(path).withColumn("measurement_row", scan_row_id())
     cohorts = spark.range(1, 2002).select(
         F.lit("CASE").alias("cohort"), F.col("id").alias("person_id"), F.lit(dt.date(2020, 1, 1)).alias("index_date"))
 

@@ -86,3 +86,52 @@ def test_dates_normalised_from_any_form(spark):
     b = [tuple(r) for r in conform(as_text, MEASUREMENT_SCHEMA).orderBy("person_id").collect()]
     assert a == [(1, 3004501, 20200102, 4.0), (2, 3004501, None, 5.0)]
     assert b == [(1, 3004501, 20200102, 4.0), (2, 3004501, 20200103, None), (3, 3004501, None, 1.0)]
+
+
+def _files(folder, **texts):
+    os.makedirs(folder)
+    for name, text in texts.items():
+        with open(os.path.join(folder, f"{name}.csv"), "w") as f:
+            f.write(text)
+    return folder
+
+
+def test_files_with_columns_in_different_order(spark):
+    path = _files(
+        os.path.join(_tmp(), "person"),
+        a="PERSON_ID,GENDER_CONCEPT_ID,YEAR_OF_BIRTH\n1,8507,1950\n",
+        b="\ufeffyear_of_birth,extra,person_id,gender_concept_id\n1960,x,2,8532\n",
+        c="person_id,gender_concept_id,year_of_birth\n3,0,1970\n",
+        d="",
+    )
+    want = [(1, 8507, 1950), (2, 8532, 1960), (3, 0, 1970)]
+    assert sorted(map(tuple, CSV.read_table_csv(spark, path, "person").collect())) == want
+    assert sorted(map(tuple, CSV.read_table_csv(spark, path + "/*.csv", "person", infer_schema=True).collect())) == want
+
+
+def test_missing_or_repeated_column_is_an_error(spark):
+    path = _files(os.path.join(_tmp(), "p"), a="person_id,gender_concept_id,year_of_birth\n1,2,3\n", b="person_id,year_of_birth\n1,2\n")
+    with pytest.raises(ValueError, match="gender_concept_id"):
+        CSV.read_table_csv(spark, path, "person")
+    path = _files(os.path.join(_tmp(), "q"), a="person_id,person_id,gender_concept_id,year_of_birth\n1,1,2,3\n")
+    with pytest.raises(ValueError, match="more than once"):
+        CSV.read_table_csv(spark, path, "person")
+
+
+def test_folder_without_rows(spark):
+    path = _files(os.path.join(_tmp(), "empty"), a="")
+    assert CSV.read_table_csv(spark, path, "person").count() == 0
+
+
+def test_positional_dates_in_any_form(spark):
+    path = _files(os.path.join(_tmp(), "pos"), a="1,7,3004501,2020-01-05,,,,4.5\n2,7,3004501,20200106,,,,5.5\n3,7,3004501,soon,,,,6.5\n")
+    got = sorted((r.value_as_number, r.measurement_date) for r in CSV.read_measurement_positional(spark, path).collect())
+    assert got == [(4.5, 20200105), (5.5, 20200106), (6.5, None)]
+
+
+def test_row_ids_tell_rows_of_all_files_apart(spark):
+    header = "person_id,measurement_concept_id,measurement_date,value_as_number\n"
+    row = "1,3004501,20200101,2.5\n"
+    path = _files(os.path.join(_tmp(), "m"), a=header + row * 50, b=header.upper() + row * 50, c="value_as_number," + header.replace(",value_as_number", "") + "2.5,1,3004501,20200101\n" * 50)
+    rows = CSV.read_table_csv(spark, path, "measurement", row_id=True)
+    assert rows.count() == rows.select("measurement_row").distinct().count() == 150
