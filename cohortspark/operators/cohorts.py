@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import parse_yyyymmdd
 from ..sources import model
-from ..sources.dimensions import id_list_frame
+from ..sources.dimensions import id_list_frame, literal_frame
 
 
 def _ids(disease_ids) -> list[int]:
@@ -124,8 +124,7 @@ def cohort_counts(cases: DataFrame, controls: DataFrame) -> DataFrame:
         .groupBy("cohort")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    scaffold = spark.createDataFrame([("case",), ("control",)], "cohort string")
-    # Both sides hold at most two rows; AQE broadcasts them from runtime sizes.
+    scaffold = literal_frame(spark, [("case",), ("control",)], "cohort string")
     return scaffold.join(counts, "cohort", "left").select(
         "cohort", F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("n")
     )
@@ -151,11 +150,10 @@ def not_in_cohort(person: DataFrame, condition: DataFrame, disease_ids=model.DEF
 def build_cohorts(person: DataFrame, condition: DataFrame, disease_ids: Iterable[int] = model.DISEASE_IDS) -> DataFrame:
     """Case and control counts for several diseases in one job.
 
-    case_count = distinct persons with the condition; control_count =
-    distinct persons of the person table not in that set. Every person is
-    paired with each requested disease (a multiplier fixed by the request,
-    not by the data) and anti-joined against the (disease, person) case
-    pairs, so no person set is ever collected or broadcast.
+    case_count = distinct persons with the condition; control_count = distinct
+    persons of the person table less those of them in that set (a semi join on
+    person, whose rows are the cases, not persons x diseases). No person set is
+    ever collected or broadcast.
     """
     ids = _ids(disease_ids)
     spark = person.sparkSession
@@ -165,25 +163,23 @@ def build_cohorts(person: DataFrame, condition: DataFrame, disease_ids: Iterable
         .distinct()
     )
     case_counts = pairs.groupBy("disease_concept_id").agg(F.count(F.lit(1)).alias("case_count"))
-    persons = person.where(F.col("person_id").isNotNull()).select("person_id").distinct()
-    per_disease = persons.select(
-        "person_id", F.explode(F.array(*[F.lit(i) for i in ids])).alias("disease_concept_id")
-    )
-    control_counts = (
-        per_disease.join(pairs, ["disease_concept_id", "person_id"], "left_anti")
+    persons = person.where(F.col("person_id").isNotNull()).select("person_id")
+    present = (
+        pairs.join(persons, "person_id", "left_semi")
         .groupBy("disease_concept_id")
-        .agg(F.count(F.lit(1)).alias("control_count"))
+        .agg(F.count(F.lit(1)).alias("present_count"))
     )
+    n_persons = persons.agg(F.count_distinct("person_id")).scalar()
     requested = id_list_frame(spark, ids, "disease_concept_id")
     # The count frames hold at most one row per requested id.
     return (
         requested.join(case_counts, "disease_concept_id", "left")
-        .join(control_counts, "disease_concept_id", "left")
+        .join(present, "disease_concept_id", "left")
         .select(
             "disease_concept_id",
             F.coalesce("case_count", F.lit(0)).cast("bigint").alias("case_count"),
             F.lit(model.CASE_LABEL).alias("case_label"),
-            F.coalesce("control_count", F.lit(0)).cast("bigint").alias("control_count"),
+            (n_persons - F.coalesce("present_count", F.lit(0))).cast("bigint").alias("control_count"),
             F.lit(model.CONTROL_LABEL).alias("control_label"),
         )
     )

@@ -9,8 +9,9 @@ splits hot keys by row *count* instead:
 * per-key row counts (an aggregate the caller usually has already, e.g.
   the first-measurement pass) give the keys with more than
   ``rows_per_salt`` rows and, for each, ``ceil(rows / rows_per_salt)``
-  salts. At most ``total_rows / rows_per_salt`` keys qualify, so this table
-  has a proven bound and is broadcast;
+  salts. Of these the ``MAX_HOT_KEYS`` largest are salted and broadcast, a
+  fixed bound: any other key has fewer than 1 / MAX_HOT_KEYS of all rows, which
+  is no hot key, and is joined unsalted;
 * rows of a hot key get a salt from a hash of a per-row id (assigned at the
   scan, so exact copies spread too, and stable under task retries); the
   key's one row on the small side is replicated once per salt;
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 
 ROWS_PER_SALT_CONF = "cohortspark.skew.rowsPerSalt"
 ROWS_PER_SALT = 2_000_000
+MAX_HOT_KEYS = 10_000
 ROW_ID = "measurement_row"
 
 
@@ -34,10 +36,11 @@ def rows_per_salt(spark) -> int:
 
 
 def salt_plan(counts: DataFrame, key: str, per_salt: int, count_col: str = "n_rows") -> DataFrame:
-    """Hot keys and their salt counts (at most total_rows / per_salt rows)."""
-    return counts.where(F.col(count_col) > per_salt).select(
-        key, F.ceil(F.col(count_col) / F.lit(per_salt)).cast("int").alias("_salts")
-    )
+    """Hot keys and their salt counts: the ``MAX_HOT_KEYS`` largest keys, each
+    with that many salts, at most."""
+    hot = counts.where(F.col(count_col) > per_salt).orderBy(F.col(count_col).desc(), key).limit(MAX_HOT_KEYS)
+    salts = F.least(F.ceil(F.col(count_col) / F.lit(per_salt)), F.lit(MAX_HOT_KEYS))
+    return hot.select(key, salts.cast("int").alias("_salts"))
 
 
 def salted_join(
@@ -54,7 +57,7 @@ def salted_join(
     ``counts`` has one row per key with its row count in ``big`` (an upper
     bound is fine). ``big``'s per-row id column ``measurement_row`` spreads a
     hot key's rows; without it the row content is hashed (exact copies then
-    stay together).
+    stay together). Every source of the library gives the id.
     """
     per_salt = per_salt or rows_per_salt(big.sparkSession)
     hot = F.broadcast(salt_plan(counts, key, per_salt, count_col))

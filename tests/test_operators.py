@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+from pyspark.sql import functions as F
 
 from cohortspark.operators import cohorts as C
 from cohortspark.operators import demographics as D
@@ -162,3 +163,25 @@ def test_pivot_zero_fill(spark):
     # person 1: case, male, 59 at index; person 2: case, female, 25; person 4: control, male, 31
     got = {k: (r.case_male, r.case_female, r.control_male, r.control_female) for k, r in rows.items()}
     assert got == {"<20": (0, 0, 0, 0), "20-40": (0, 1, 1, 0), "40-60": (1, 0, 0, 0), "60+": (0, 0, 0, 0)}
+
+
+def test_every_load_check_can_fail(spark):
+    from cohortspark.operators.checks import load_checks
+
+    person = spark.createDataFrame([(1,), (1,), (None,), (5,)], "person_id long")
+    condition = spark.createDataFrame([(1, 20200101), (None, 20200230)], "person_id long, condition_start_date int")
+    measurement = spark.createDataFrame([(1, None), (None, 20200101)], "person_id long, measurement_date int")
+    cases = spark.createDataFrame([(1,), (9,)], "person_id long")
+    controls = spark.createDataFrame([(1,)], "person_id long")
+    wrong = {"person_rows": 3, "condition_rows": condition.agg(F.lit(7)), "measurement_rows": 1}
+    got = {r.check: r for r in load_checks(person, condition, measurement, cases, controls, wrong).collect()}
+    assert len(got) == 12 and not any(r.ok for r in got.values()), got
+    assert got["case_ids_not_in_person"].actual == 1 and got["condition_rows"].expected == 7
+    assert "person_rows" not in {r.check for r in load_checks(person, condition, measurement, cases, controls).collect()}
+
+
+def test_controls_by_subtraction_with_case_ids_not_in_person(spark):
+    person, condition, _ = frames(spark)
+    extra = spark.createDataFrame([(77, D1, 20100101)], model.CONDITION_SCHEMA)
+    rows = {r.disease_concept_id: r for r in C.build_cohorts(person.union(person), condition.union(extra), [D1]).collect()}
+    assert (rows[D1].case_count, rows[D1].control_count) == (3, 3)
