@@ -14,10 +14,10 @@ from ..sources.dimensions import cohort_scaffold
 def gender_labels(person: DataFrame, concept: DataFrame) -> DataFrame:
     """Person with the label of its gender concept (NULL when unmapped).
 
-    No broadcast hint: the built-in concept dimension is a small literal
+    No broadcast hint: the built-in concept dimension is a local relation
     whose exact size lets the planner broadcast it (the person side then
-    never moves), while a full user-supplied concept table is only
-    broadcast if its size passes the planner's threshold.
+    never moves on its three gender values), while a full user-supplied
+    concept table is only broadcast if its size passes the planner's threshold.
     """
     labels = concept.select(F.col("concept_id").alias("gender_concept_id"), F.col("concept_name").alias("gender"))
     return person.join(labels, "gender_concept_id", "left")
@@ -47,6 +47,12 @@ def demographics(cohorts: DataFrame, person: DataFrame, concept: DataFrame) -> D
     )
 
 
+def ages(cohorts: DataFrame, person: DataFrame) -> DataFrame:
+    """Age at index per member, without the gender label."""
+    age = (F.year("index_date") - F.col("year_of_birth")).cast("int")
+    return cohort_persons(cohorts, person).select("cohort", "person_id", age.alias("age_at_index"))
+
+
 def age_bands(demog: DataFrame) -> DataFrame:
     return demog.select("cohort", "person_id", "age_at_index", age_band(F.col("age_at_index")).alias("age_group"))
 
@@ -84,6 +90,13 @@ def demographic_profile(demog: DataFrame) -> DataFrame:
     )
 
 
+def profile_display(profile: DataFrame, disease_label: str = model.DISEASE_SHORT_LABEL) -> DataFrame:
+    """The profile under its display labels, 'CASE (Diabetes)' and 'CONTROL (No Diabetes)'."""
+    case = F.col("cohort") == model.CASE
+    text = F.when(case, f"{model.CASE} ({disease_label})").otherwise(f"{model.CONTROL} (No {disease_label})")
+    return profile.select(text.alias("cohort_label"), *[c for c in profile.columns if c != "cohort"])
+
+
 def gender_counts(demog: DataFrame) -> DataFrame:
     return demographic_profile(demog).select("cohort", "n_male", "n_female")
 

@@ -58,6 +58,20 @@ def disease_options(diseases: DataFrame) -> DataFrame:
     )
 
 
+def cohort_cards(counts: DataFrame, concept: DataFrame, disease_id: int = model.DEFAULT_DISEASE_ID) -> DataFrame:
+    """Display texts of the two cohorts, from ``cohorts.cohort_counts``: label,
+    count with thousands separators, description."""
+    name = concept.where(F.col("concept_id") == int(disease_id)).select(F.max("concept_name")).scalar()
+    disease = label_or_fallback(name, F.lit(int(disease_id)))
+    case = F.col("cohort") == "case"
+    return counts.select(
+        "cohort",
+        F.when(case, f"{model.CASE} ({model.CASE_LABEL})").otherwise(f"{model.CONTROL} ({model.CONTROL_LABEL})").alias("label"),
+        grouped_int(F.col("n")).alias("count_text"),
+        F.concat(F.when(case, "Patients with ").otherwise("Patients without "), disease).alias("description"),
+    )
+
+
 PIVOT_COLUMNS = [
     ("case_male", model.CASE, model.MALE_LABEL),
     ("case_female", model.CASE, model.FEMALE_LABEL),

@@ -1,4 +1,4 @@
-"""Keyed sampling, follow-up expansion, bucketing, clamping and row ids.
+"""Keyed sampling, clamping and row ids.
 
 Every draw is ``keyed_uniform`` of the row's own key, so results repeat
 exactly across runs, partitionings and task retries.
@@ -11,16 +11,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.dates import add_days
-from ..functions.keyed import keyed_uniform, weighted_choice
-from ..functions.numeric import clamp, round_cast_int
-from ..session import materialize
+from ..functions.keyed import keyed_uniform
+from ..functions.numeric import clamp
+from ..session import Scratch, query_scratch
 from ..sources import model
 
 SALT_CONTROL_SAMPLE = "control_sample"
-SALT_VISIT_COUNT = "visit_count"
-SALT_VISIT_OFFSET = "visit_offset"
-SALT_VISIT_ANALYTE = "visit_analyte"
 
 
 def person_uniform(frame: DataFrame, salt: str = "person") -> DataFrame:
@@ -36,44 +32,6 @@ def sample_controls(
     return controls.select("person_id", "index_date", u.alias("u")).where(F.col("u") < F.lit(rate))
 
 
-def follow_up_members(cohorts: DataFrame) -> DataFrame:
-    """Members of the follow-up design: all cases, a keyed sample of controls."""
-    u = keyed_uniform(F.col("person_id"), salt=SALT_CONTROL_SAMPLE)
-    keep = (F.col("cohort") == model.CASE) | (u < F.lit(model.CONTROL_SAMPLE_RATE))
-    return cohorts.where(keep).select("cohort", "person_id", "index_date")
-
-
-def _per_cohort(values: dict, default_key: str = model.CONTROL):
-    """Column choosing a per-cohort literal (CASE vs the rest)."""
-    return F.when(F.col("cohort") == model.CASE, F.lit(values[model.CASE])).otherwise(F.lit(values[default_key]))
-
-
-def expand_follow_up(members: DataFrame, days: int = model.FOLLOW_UP_DAYS) -> DataFrame:
-    """k visits per member, k = round(base + span * u) by cohort; each visit
-    dated index + round(days * u') days. The explode is bounded by k, a
-    small per-row count, so it stays a narrow per-partition step."""
-    base = _per_cohort({c: v[0] for c, v in model.FOLLOW_UP_COUNTS.items()})
-    span = _per_cohort({c: v[1] for c, v in model.FOLLOW_UP_COUNTS.items()})
-    k = round_cast_int(base + span * keyed_uniform(F.col("person_id"), salt=SALT_VISIT_COUNT))
-    visits = F.when(k >= 1, F.sequence(F.lit(1), k)).otherwise(F.array().cast("array<int>"))
-    rows = members.select("cohort", "person_id", "index_date", F.explode(visits).alias("visit_num"))
-    offset = round_cast_int(
-        F.lit(float(days)) * keyed_uniform(F.col("person_id"), F.col("visit_num"), salt=SALT_VISIT_OFFSET)
-    )
-    return rows.select(
-        "cohort", "person_id", "index_date", "visit_num", add_days(F.col("index_date"), offset).alias("visit_date")
-    )
-
-
-def weighted_bucket(visits: DataFrame) -> DataFrame:
-    """Analyte drawn per visit from the cohort's weight table (one draw)."""
-    u = keyed_uniform(F.col("person_id"), F.col("visit_num"), salt=SALT_VISIT_ANALYTE)
-    pick = F.when(F.col("cohort") == model.CASE, weighted_choice(u, model.ANALYTE_WEIGHTS[model.CASE])).otherwise(
-        weighted_choice(u, model.ANALYTE_WEIGHTS[model.CONTROL])
-    )
-    return visits.select("cohort", "person_id", "visit_num", pick.cast("int").alias("measurement_concept_id"))
-
-
 def clamp_by_category(values: DataFrame, bounds: DataFrame, value_col: str = "value_numeric") -> DataFrame:
     """Winsorise each value to its (cohort, analyte) bounds; bounds are data.
 
@@ -91,22 +49,22 @@ def row_ids(
     id_col: str = "row_id",
     num_slices: int | None = None,
     chunk_rows: int = 1_000_000,
+    scratch: Scratch | None = None,
 ) -> DataFrame:
     """Dense 1..N ids following ``order_cols`` (then all other columns).
 
     A global ROW_NUMBER() is a one-task window; this is the distributed
     form:
 
-    1. exact copies collapse to one row with a multiplicity (map-side), so a
-       heavily repeated row cannot overload a slice;
-    2. distinct rows are range-partitioned into consecutive slices, frozen
-       by writing them once to the shared folder (a parquet copy, so the
-       passes below reuse each other's exchanges and prune columns);
-    3. slice totals (one row per slice) give each slice's first id, and a
-       running count inside each slice gives each distinct row its block;
-    4. rows are expanded back to their copies; blocks larger than
-       ``chunk_rows`` are cut into chunks and spread by hash first, so no
-       task expands a hot group alone.
+    1. exact copies collapse to one row with a multiplicity (map-side), cut
+       into chunks of ``chunk_rows`` copies, so that a heavily repeated row is
+       several rows that can lie in different slices;
+    2. the chunks are range-partitioned into consecutive slices, frozen by
+       writing them once to the shared folder (``scratch`` owns the copy;
+       default: the session's query scratch);
+    3. slice totals (one row per slice) give each slice's first id, and one
+       running count inside each slice gives each chunk its block of ids;
+    4. chunks are expanded to their copies where they are.
 
     Identical rows are interchangeable, so ids are deterministic as a
     multiset of rows.
@@ -115,12 +73,15 @@ def row_ids(
     slices_n = num_slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
     cols = list(df.columns)
     order = list(order_cols) + [c for c in cols if c not in order_cols]
-    sort_exprs = [F.col(c).asc_nulls_last() for c in order]
+    sort_exprs = [F.col(c).asc_nulls_last() for c in order] + [F.col("_chunk").asc()]
 
-    distinct = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_copies"))
-    ranged = materialize(
-        distinct.repartitionByRange(slices_n, *sort_exprs).withColumn("_slice", F.spark_partition_id()),
-        "row_id_slices",
+    distinct = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_all"))
+    last = F.floor((F.col("_all") - 1) / F.lit(chunk_rows)).cast("long")
+    chunks = distinct.select(*cols, "_all", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("_chunk")).select(
+        *cols, "_chunk", F.least(F.lit(chunk_rows), F.col("_all") - F.col("_chunk") * chunk_rows).alias("_copies")
+    )
+    ranged = (scratch or query_scratch(spark)).materialize(
+        chunks.repartitionByRange(slices_n, *sort_exprs).withColumn("_slice", F.spark_partition_id()), "row_id_slices"
     )
 
     sizes = ranged.groupBy("_slice").agg(F.sum("_copies").alias("_slice_n"))
@@ -136,15 +97,7 @@ def row_ids(
     blocks = (
         ranged.withColumn("_cum", F.sum("_copies").over(in_slice))
         .join(F.broadcast(starts), "_slice")
-        .withColumn("_first", F.col("_slice_start") + F.col("_cum") - F.col("_copies") + 1)
-        .select(*cols, "_first", "_copies")
+        .select(*cols, (F.col("_slice_start") + F.col("_cum") - F.col("_copies")).alias("_before"), "_copies")
     )
-
-    n_chunks = F.floor((F.col("_copies") - 1) / F.lit(chunk_rows)).cast("long")
-    chunked = blocks.select("*", F.explode(F.sequence(F.lit(0).cast("long"), n_chunks)).alias("_chunk"))
-    small = chunked.where(F.col("_copies") <= chunk_rows)
-    big = chunked.where(F.col("_copies") > chunk_rows).repartition(slices_n, *cols, "_chunk")
-    lo = F.col("_chunk") * chunk_rows
-    hi = F.least(F.col("_copies"), (F.col("_chunk") + 1) * chunk_rows) - 1
-    expanded = small.unionByName(big).select(*cols, "_first", F.explode(F.sequence(lo, hi)).alias("_i"))
-    return expanded.select(*cols, (F.col("_first") + F.col("_i")).cast("long").alias(id_col))
+    each = blocks.select(*cols, "_before", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias("_i"))
+    return each.select(*cols, (F.col("_before") + F.col("_i")).cast("long").alias(id_col))

@@ -4,24 +4,21 @@ Why not ``F.percentile``: the exact built-in keeps a value -> count map per
 group and merges it in the one task that owns the group. Cohort statistics
 have very few groups (two cohorts), so that single task would hold every
 distinct value of half the data. ``exact_percentiles`` below gives the same
-interpolated answer (PERCENTILE_CONT / MEDIAN semantics) while every step is
-spread across the cluster:
+bits while every step is spread across the cluster, at every data size:
 
-1. histogram: count rows per (group, value) -- partial aggregation map-side,
-   so repeated values collapse before the shuffle;
-2. range-partition the histogram on (group, value): a hot group is cut into
-   many consecutive slices, and the slice assignment is frozen by writing
-   the histogram once to the shared folder, so both reads below see the
-   same slices (and a lost executor cannot re-slice it);
+1. counts: rows per (group, value), with partial aggregation map-side, so
+   repeated values collapse before the shuffle;
+2. the counts are range-partitioned on (group, value): a hot group is cut into
+   many consecutive slices, and the slice assignment is frozen by writing the
+   counts once to the shared folder, so all reads below see the same slices
+   (and a lost executor cannot re-slice them);
 3. per (slice, group) row counts -> a small table (at most slices + groups
    rows) -> prefix sums give each slice's starting rank inside its group;
 4. the target ranks floor/ceil(p * (n - 1)) are located in their slice, and
    only those slices get a local running count, to read off the values.
 
-Everything else (count, distinct patients, mean, min, max, sample stddev)
-is a single ``groupBy().agg()`` with partial aggregation; the distinct count
-is planned by Spark as a (group, person) pre-aggregation, which spreads a hot
-group across tasks as well.
+``group_stats`` counts rows per (group, person, value) instead, so the one
+written copy serves every statistic, and the joins above it run once.
 """
 
 from __future__ import annotations
@@ -32,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import round_dp
-from ..session import materialize
+from ..session import Scratch, query_scratch
 
 BOX_STATS = [
     "n_measurements",
@@ -47,12 +44,6 @@ BOX_STATS = [
 ]
 PERCENTILE_STATS = {"median_value": 0.5, "p25": 0.25, "p75": 0.75}
 
-# Histograms up to this many distinct (group, value) pairs are small enough
-# for the built-in frequency-weighted percentile, whose per-group buffer is
-# a value -> count map (about 100 bytes per entry). Larger ones take the
-# distributed path. Overridable with the session conf below.
-LOCAL_PERCENTILE_LIMIT = 1_000_000
-LOCAL_PERCENTILE_CONF = "cohortspark.percentile.localLimit"
 COUNT_STATS = {"n_measurements", "n_patients"}
 
 
@@ -71,57 +62,55 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return out.drop(*[f"__r_{k}" for k in keys])
 
 
+def frozen_slices(
+    df: DataFrame, group_cols: Sequence[str], value_col: str, weight_col: str | None, scratch: Scratch, num_slices: int, extra=()
+) -> DataFrame:
+    """Rows counted per (group, value, *extra): (group cols, _v, extra, _c, _slice),
+    in consecutive slices by group and value (NULL values first), written once."""
+    G = list(group_cols)
+    weight = F.col(weight_col).cast("long") if weight_col else F.lit(1).cast("long")
+    counts = df.select(*G, F.col(value_col).cast("double").alias("_v"), *extra, weight.alias("_w"))
+    counts = counts.groupBy(*G, "_v", *extra).agg(F.sum("_w").alias("_c"))
+    order = [F.col(c).asc_nulls_first() for c in [*G, "_v", *extra]]
+    return scratch.materialize(
+        counts.repartitionByRange(num_slices, *order).withColumn("_slice", F.spark_partition_id()), "value_counts"
+    )
+
+
 def exact_percentiles(
     df: DataFrame,
     group_cols: Sequence[str],
     value_col: str,
     percentiles: Mapping[str, float],
     num_slices: int | None = None,
-    local_limit: int | None = None,
     weight_col: str | None = None,
+    scratch: Scratch | None = None,
 ) -> DataFrame:
     """Exact interpolated percentiles per group, one column per name.
 
     ``weight_col`` (optional) gives each row a multiplicity, for inputs that
-    were pre-aggregated into (value, count) rows.
+    were pre-aggregated into (value, count) rows. ``scratch`` owns the written
+    copy (default: the session's query scratch).
 
     Returns ``group_cols + list(percentiles)``; groups whose values are all
-    NULL are absent (callers left-join). Result equals PERCENTILE_CONT(p).
-
-    The histogram's size is checked first (one count): at most
-    ``local_limit`` distinct (group, value) pairs go to the built-in
-    frequency-weighted ``percentile`` (bounded per-task memory, one
-    aggregate); beyond it the distributed range-slice path is used.
+    NULL are absent (callers left-join). Equal to the built-in ``percentile``
+    to the last bit, infinities included.
     """
     G = list(group_cols)
     if not G:
         df = df.withColumn("__all", F.lit(0))
-        out = exact_percentiles(df, ["__all"], value_col, percentiles, num_slices, local_limit, weight_col)
-        return out.drop("__all")
+        return exact_percentiles(df, ["__all"], value_col, percentiles, num_slices, weight_col, scratch).drop("__all")
     spark = df.sparkSession
     slices_n = num_slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    if local_limit is None:
-        local_limit = int(spark.conf.get(LOCAL_PERCENTILE_CONF, str(LOCAL_PERCENTILE_LIMIT)))
-    names = list(percentiles)
+    rows = df.where(F.col(value_col).isNotNull())
+    ranged = frozen_slices(rows, G, value_col, weight_col, scratch or query_scratch(spark), slices_n)
+    return sliced_percentiles(ranged, G, percentiles)
 
-    weight = F.col(weight_col).cast("long") if weight_col else F.lit(1).cast("long")
-    vals = df.select(*G, F.col(value_col).cast("double").alias("_v"), weight.alias("_w")).where(
-        F.col("_v").isNotNull()
-    )
-    # The histogram is aggregated once and written (it is the reduced form of
-    # the input); the size check and whichever path follows read that copy.
-    hist = materialize(vals.groupBy(*G, "_v").agg(F.sum("_w").alias("_c")), "percentile_histogram")
-    # A plain count (partial counts merged once); a LIMIT here would funnel
-    # up to limit rows per partition into a single task.
-    if local_limit > 0 and hist.count() <= local_limit:
-        ps = F.array(*[F.lit(float(percentiles[n])) for n in names])
-        got = hist.groupBy(*G).agg(F.percentile(F.col("_v"), ps, F.col("_c")).alias("_p"))
-        return got.select(*G, *[F.col("_p")[i].alias(n) for i, n in enumerate(names)])
-    ranged = materialize(
-        hist.repartitionByRange(slices_n, *[F.col(g).asc_nulls_first() for g in G], F.col("_v").asc())
-        .withColumn("_slice", F.spark_partition_id()),
-        "percentile_slices",
-    )
+
+def sliced_percentiles(ranged: DataFrame, G: list[str], percentiles: Mapping[str, float]) -> DataFrame:
+    """Percentiles from ``frozen_slices`` rows; NULL values do not count."""
+    names = list(percentiles)
+    ranged = ranged.where(F.col("_v").isNotNull()).groupBy("_slice", *G, "_v").agg(F.sum("_c").alias("_c"))
 
     keys = ["_slice"] + G
     by_group = Window.partitionBy(*G)
@@ -186,7 +175,8 @@ def exact_percentiles(
     out = []
     for i, n in enumerate(names):
         lo, hi, h = F.col(f"_lo{i}"), F.col(f"_hi{i}"), F.col(f"_h{i}")
-        out.append(F.when(lo == hi, lo).otherwise(lo + (hi - lo) * (h - F.floor(h))).alias(n))
+        # the built-in's own interpolation, in its order of operations
+        out.append(F.when(lo == hi, lo).otherwise((F.ceil(h) - h) * lo + (h - F.floor(h)) * hi).alias(n))
     return ends_per.select(*G, *out)
 
 
@@ -200,6 +190,7 @@ def group_stats(
     approx: bool = False,
     accuracy: int = 10000,
     weight_col: str | None = None,
+    scratch: Scratch | None = None,
 ) -> DataFrame:
     """Box-plot statistics per group, doubles rounded to ``dp`` decimals.
 
@@ -207,9 +198,10 @@ def group_stats(
     pre-aggregated into (value, count) rows before a join: counts, mean,
     percentiles and standard deviation then weigh each row by it.
 
-    When exact percentiles are asked for, the input is needed by two passes
-    (the histogram and the plain aggregates), so its few used columns are
-    written once to the shared folder first.
+    Without percentiles this is one lazy aggregate. With them, rows are counted
+    per (group, person, value) and written once (``frozen_slices``); every
+    statistic is read from that copy, which ``scratch`` owns (default: the
+    session's query scratch).
 
     ``approx=True`` is an opt-in for speed over exactness: percentiles from
     ``percentile_approx`` (a mergeable sketch, rank error about
@@ -222,10 +214,16 @@ def group_stats(
         if weight_col:
             raise ValueError("approx statistics take unweighted rows")
         return _approx_stats(df, G, stats, value_col, person_col, dp, accuracy)
+    if not G and (pct or (weight_col and "std_dev" in stats)):
+        # one group of all rows; no row at all still gives the row of a global aggregate
+        one = group_stats(df.withColumn("__all", F.lit(0)), ["__all"], stats, value_col, person_col, dp, False, accuracy, weight_col, scratch)
+        return one.agg(*[F.first(s).alias(s) if s not in COUNT_STATS else F.coalesce(F.first(s), F.lit(0)).alias(s) for s in stats])
+    if pct:
+        spark = df.sparkSession
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        ranged = frozen_slices(df, G, value_col, weight_col, scratch or query_scratch(spark), n, [person_col])
+        df, value_col, weight_col = ranged, "_v", "_c"
     weighted_sd = bool(weight_col) and "std_dev" in stats
-    if pct or weighted_sd:
-        used = [*G, value_col, person_col] + ([weight_col] if weight_col else [])
-        df = materialize(df.select(*used), "stats_input")
     v = F.col(value_col)
     if weight_col:
         w = F.col(weight_col)
@@ -237,16 +235,11 @@ def group_stats(
         exprs = {"n_measurements": F.count(F.lit(1)), "mean_value": F.avg(v), "std_dev": F.stddev_samp(v)}
     exprs.update({"n_patients": F.count_distinct(person_col), "min_value": F.min(v), "max_value": F.max(v)})
     basic_names = [s for s in stats if s in exprs] or ["n_measurements"]
-    if G:
-        out = df.groupBy(*G).agg(*[exprs[s].alias(s) for s in basic_names])
-    else:
-        out = df.agg(*[exprs[s].alias(s) for s in basic_names])
+    out = df.groupBy(*G).agg(*[exprs[s].alias(s) for s in basic_names])
     if pct:
-        p = exact_percentiles(df, G, value_col, pct, weight_col=weight_col)
-        out = join_null_safe(out, p, G, "left") if G else _attach_global(out, p)
+        out = join_null_safe(out, sliced_percentiles(ranged, G, pct), G, "left")
     if weighted_sd:
-        sd = _weighted_stddev(df, G, value_col, weight_col)
-        out = join_null_safe(out, sd, G, "left") if G else _attach_global(out, sd)
+        out = join_null_safe(out, _weighted_stddev(df, G, value_col, weight_col), G, "left")
     cols = []
     for s in stats:
         if s in COUNT_STATS:
@@ -262,11 +255,6 @@ def _weighted_stddev(df: DataFrame, G, value_col: str, weight_col: str) -> DataF
     the unweighted ``stddev_samp``. NULL for fewer than two rows."""
     v, w = F.col(value_col), F.col(weight_col)
     rows = df.where(v.isNotNull())
-    if not G:
-        # ungrouped: the mean is one value, attached as a scalar subquery
-        mean = rows.agg((F.sum(v * w) / F.sum(w)).alias("m")).scalar()
-        ss = rows.agg(F.sum(w * (v - mean) * (v - mean)).alias("_ss"), F.sum(w).alias("_n"))
-        return ss.select(F.when(F.col("_n") > 1, F.sqrt(F.col("_ss") / (F.col("_n") - 1))).alias("std_dev"))
     means = rows.groupBy(*G).agg((F.sum(v * w) / F.sum(w)).alias("_mean"), F.sum(w).alias("_n"))
     dev = join_null_safe(rows, means, G, "inner")
     ss = dev.groupBy(*G).agg(
@@ -290,14 +278,3 @@ def _approx_stats(df, G, stats, value_col, person_col, dp, accuracy) -> DataFram
     out = df.groupBy(*G).agg(*aggs) if G else df.agg(*aggs)
     cols = [F.col(s).cast("bigint").alias(s) if s in COUNT_STATS else round_dp(F.col(s), dp).alias(s) for s in stats]
     return out.select(*G, *cols)
-
-
-def _attach_global(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Combine two one-row global aggregates into one row without a join:
-    each is padded with NULLs for the other's columns, the two rows are
-    unioned and collapsed by a global aggregate (first non-NULL per column)."""
-    ca, cb = list(a.columns), [c for c in b.columns if c not in a.columns]
-    pad_a = a.select(*ca, *[F.lit(None).cast(b.schema[c].dataType).alias(c) for c in cb])
-    pad_b = b.select(*[F.lit(None).cast(a.schema[c].dataType).alias(c) for c in ca], *cb)
-    both = pad_a.unionByName(pad_b)
-    return both.agg(*[F.first(c, ignorenulls=True).alias(c) for c in ca + cb])

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.bands import age_band, age_band_order
 from ..functions.numeric import round_dp
+from ..session import Scratch
 from ..sources import model
 from .stats import group_stats
 
@@ -37,17 +38,16 @@ def with_age_band_and_gender(rows: DataFrame, person: DataFrame, concept: DataFr
     )
 
 
-def measurements_with_demographics(mc: DataFrame, person: DataFrame, concept: DataFrame) -> DataFrame:
-    """Every outcome row with its member's age band and gender (row level)."""
-    return with_age_band_and_gender(
-        mc.select("cohort", "person_id", "cohort_index_date", "value_numeric"), person, concept
-    )
-
-
 def measurement_by_age_sex(
-    mc: DataFrame, person: DataFrame, concept: DataFrame, stats: Sequence[str] = AGE_SEX_STATS
+    mc: DataFrame,
+    person: DataFrame,
+    concept: DataFrame,
+    stats: Sequence[str] = AGE_SEX_STATS,
+    scratch: Scratch | None = None,
+    by: Sequence[str] = (),
 ) -> DataFrame:
-    """Patients, measurements, mean and median by cohort x age band x gender.
+    """Patients, measurements, mean and median by cohort x age band x gender (and
+    by the columns of ``by`` before them).
 
     Outcome rows are first collapsed to (cohort, person, index date, value)
     with a row count -- map-side, so even a person owning a large share of
@@ -56,14 +56,14 @@ def measurement_by_age_sex(
     not catch them). Only the value-free key is kept when no value
     statistic is asked for. The statistics then weigh each row by its count.
     """
-    keys = ["cohort", "person_id", "cohort_index_date"]
+    keys = [*by, "cohort", "person_id", "cohort_index_date"]
     if VALUE_STATS & set(stats):
         keys.append("value_numeric")
     pre = mc.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
     if "value_numeric" not in keys:
         pre = pre.withColumn("value_numeric", F.lit(None).cast("double"))
     rows = with_age_band_and_gender(pre, person, concept)
-    return group_stats(rows, ["cohort", "age_group", "gender"], stats=list(stats), weight_col="_rows")
+    return group_stats(rows, [*by, "cohort", "age_group", "gender"], stats=list(stats), weight_col="_rows", scratch=scratch)
 
 
 def age_bands_ordered(by_age_sex: DataFrame) -> DataFrame:

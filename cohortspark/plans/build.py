@@ -12,6 +12,9 @@ import argparse
 
 from pyspark.sql import SparkSession
 
+from ..operators import report as R
+from ..operators import stats as S
+from ..session import Scratch
 from ..sources.extract import load_extract
 from ..sources.sinks import export_frame
 from .study import Study
@@ -27,15 +30,20 @@ def build(
     buckets: int | None = None,
     export: str | None = None,
 ) -> dict[str, str]:
-    """Build every derived table; optionally export the chart frames."""
-    study = Study(load_extract(spark, source, fmt), disease_id=disease_id,
-                  measurement_concept_id=measurement_concept_id)
-    built = study.build_tables(prefix=prefix, buckets=buckets)
-    if export:
-        base = export.rstrip("/")
-        export_frame(study.box_plot(), f"{base}/box_plot", "json")
-        export_frame(study.age_sex_pivot(), f"{base}/age_sex_pivot", "csv")
-        export_frame(study.summary_card(), f"{base}/summary_card", "json")
+    """Build every derived table; optionally export the chart frames, which are
+    read from the stored tables."""
+    tables = load_extract(spark, source, fmt)
+    with Scratch(spark) as scratch:
+        study = Study.prepared(tables, disease_id=disease_id, measurement_concept_id=measurement_concept_id, scratch=scratch)
+        built = study.build_tables(prefix=prefix, buckets=buckets)
+        if export:
+            base = export.rstrip("/")
+            mc = spark.table(built["measurements_combined"])
+            summary = spark.table(built["measurement_summary"])
+            by_concept = S.group_stats(mc, ["cohort", "measurement_concept_id"], scratch=scratch)
+            export_frame(R.box_plot(summary, tables.concept, disease_id), f"{base}/box_plot", "json")
+            export_frame(R.age_sex_pivot(mc, tables.person, tables.concept), f"{base}/age_sex_pivot", "csv")
+            export_frame(R.summary_card(by_concept, study.catalogue), f"{base}/summary_card", "json")
     return built
 
 

@@ -1,11 +1,16 @@
 """Named study queries: key -> callable(spark, sf_dir) -> DataFrame.
 
 Every query reads the supplied tables through the study fixtures (so its
-work grows with them) and returns a lazy DataFrame; nothing is collected.
+work grows with them). Building a query is lazy but for the footers of the
+tables it reads, with these exceptions, each of which writes a copy that is read
+more than once: exact percentiles (the counted values, in slices: ``PERCENTILE``
+below), ``measurement_seq`` (the sorted slices), and the queries that read back
+what they stored (``STORED``). Nothing is collected.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,22 +21,32 @@ from ..functions.numeric import round_cast_int, round_dp
 from ..operators import checks as K
 from ..operators import cohorts as C
 from ..operators import demographics as D
+from ..operators import diseases as M
 from ..operators import outcomes as O
 from ..operators import report as R
 from ..operators import sampling as X
 from ..operators import stats as S
 from ..operators import stratify as T
-from ..session import scratch_path
+from ..session import query_scratch, scratch_path
 from ..sources import csv as CSV
 from ..sources import model
 from ..sources.dimensions import catalogue_frame, concept_frame
-from ..sources.fixtures import load_study
-from ..sources.sinks import json_records
+from ..sources.fixtures import StudyTables, load_study, read_table
+from ..sources.sinks import export_frame, json_records
+from . import stored as ST
 from .study import Study
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
+# Queries that write a copy while being built (see above).
+PERCENTILE = {
+    "measurement_summary", "measurement_summary_by_concept", "median_by_cohort", "quartiles_by_cohort",
+    "measurement_by_age_sex", "age_bands_ordered", "box_plot", "summary_card", "summary_json",
+    "summary_by_disease_and_concept", "age_sex_by_disease_and_concept",
+}
+STORED = {"scan_csv", "scan_csv_positional", "stored_summary", "stored_by_age_sex", "stored_demographics", "exported_pivot"}
+
 # Disease used by the NOT IN exclusion query (any disease id works).
 NOT_IN_DISEASE_ID = 320128
 
@@ -45,6 +60,7 @@ def register(name: str):
 
 
 def study(spark: SparkSession, sf_dir: str, **kw) -> Study:
+    kw.setdefault("scratch", query_scratch(spark))
     return Study(load_study(spark, sf_dir), **kw)
 
 
@@ -151,14 +167,19 @@ def _pct_male(spark, sf):
     return D.pct_male(study(spark, sf).demographics)
 
 
+@register("profile_display")
+def _profile_display(spark, sf):
+    return D.profile_display(study(spark, sf).profile)
+
+
 @register("age_at_index")
 def _age_at_index(spark, sf):
-    return study(spark, sf).demographics.select("cohort", "person_id", "age_at_index")
+    return study(spark, sf).ages
 
 
 @register("age_bands")
 def _age_bands(spark, sf):
-    return D.age_bands(study(spark, sf).demographics)
+    return D.age_bands(study(spark, sf).ages)
 
 
 # -- outcomes and statistics ---------------------------------------------------
@@ -177,8 +198,7 @@ def _positive_measurements(spark, sf):
 @register("post_index_measurements")
 def _post_index_measurements(spark, sf):
     s = study(spark, sf)
-    counts = s.salting_counts()  # before the cohorts: one shared per-person aggregate
-    return O.post_index_measurements(s.t.measurement, s.cohorts, counts)
+    return O.post_index_measurements(s.t.measurement, s.cohorts, s.salting_counts)
 
 
 @register("days_from_index")
@@ -196,6 +216,25 @@ def _measurement_summary_by_concept(spark, sf):
     return study(spark, sf).summary_by_concept
 
 
+def _by_disease(spark, sf) -> tuple[StudyTables, DataFrame]:
+    t = load_study(spark, sf)
+    members = M.memberships(t.person, t.condition, t.measurement)
+    return t, M.extract_measurements_by_disease(t.measurement, members)
+
+
+@register("summary_by_disease_and_concept")
+def _summary_by_disease_and_concept(spark, sf):
+    """Box-plot statistics for every offered disease and analyte, in one job."""
+    _, mc = _by_disease(spark, sf)
+    return S.group_stats(mc, ["disease_concept_id", "cohort", "measurement_concept_id"])
+
+
+@register("age_sex_by_disease_and_concept")
+def _age_sex_by_disease_and_concept(spark, sf):
+    t, mc = _by_disease(spark, sf)
+    return T.measurement_by_age_sex(mc, t.person, t.concept, by=["disease_concept_id", "measurement_concept_id"])
+
+
 def _cohort_stats(spark, sf, stats):
     return S.group_stats(study(spark, sf).measurements, ["cohort"], stats=stats)
 
@@ -346,7 +385,66 @@ def _summary_json(spark, sf):
 @register("load_checks")
 def _load_checks(spark, sf):
     s = study(spark, sf)
-    return K.load_checks(s.t.person, s.t.condition, s.t.measurement, s.case, s.control)
+    n = F.count(F.lit(1))
+    finished = read_table(spark, sf, "orders").where(F.col("o_orderstatus") == "F").select(F.col("o_orderkey").alias("l_orderkey"))
+    expected = {
+        "person_rows": read_table(spark, sf, "customer").agg(n),
+        "condition_rows": read_table(spark, sf, "orders").agg(n),
+        "measurement_rows": read_table(spark, sf, "lineitem").select("l_orderkey").join(finished, "l_orderkey").agg(n),
+    }
+    return K.load_checks(s.t.person, s.t.condition, s.t.measurement, s.case, s.control, expected)
+
+
+@register("cohort_cards")
+def _cohort_cards(spark, sf):
+    s = study(spark, sf)
+    return R.cohort_cards(C.cohort_counts(s.case, s.control), s.t.concept, s.disease_id)
+
+
+# -- stored tables, views, exports ----------------------------------------------
+
+
+def _stored(spark, sf) -> str:
+    """Builds the derived tables under a prefix of their own; returns it."""
+    prefix = f"q{uuid.uuid4().hex[:12]}_"
+    s = study(spark, sf, scratch=query_scratch(spark))
+    s.build_tables(prefix=prefix, folder=scratch_path(spark, "tables"))
+    return prefix
+
+
+@register("stored_summary")
+def _stored_summary(spark, sf):
+    return ST.stored_summary(spark, _stored(spark, sf))
+
+
+@register("stored_by_age_sex")
+def _stored_by_age_sex(spark, sf):
+    return ST.stored_by_age_sex(spark, _stored(spark, sf))
+
+
+@register("stored_demographics")
+def _stored_demographics(spark, sf):
+    return ST.stored_demographics(spark, _stored(spark, sf))
+
+
+@register("view_case_patients")
+def _view_case_patients(spark, sf):
+    """Patients of one disease, by SQL with a bound parameter over the views."""
+    prefix = f"q{uuid.uuid4().hex[:12]}_"
+    study(spark, sf).register_views(prefix=prefix, reports=False)
+    text = f"""SELECT co.person_id, p.year_of_birth, COUNT(*) AS n_records
+               FROM {prefix}condition_occurrence co JOIN {prefix}person p ON p.person_id = co.person_id
+               WHERE co.condition_concept_id = :disease GROUP BY co.person_id, p.year_of_birth"""
+    return spark.sql(text, args={"disease": model.DEFAULT_DISEASE_ID})
+
+
+@register("exported_pivot")
+def _exported_pivot(spark, sf):
+    """The age band x sex pivot written as CSV for charting tools, read back."""
+    path = scratch_path(spark, "pivot_csv")
+    pivot = study(spark, sf).age_sex_pivot()
+    export_frame(pivot, path, "csv")
+    return spark.read.schema(pivot.schema).option("header", True).csv(path)
 
 
 # -- sources ------------------------------------------------------------------
@@ -355,7 +453,8 @@ def _load_checks(spark, sf):
 @register("scan_csv")
 def _scan_csv(spark, sf):
     """Measurements written as an extract-style CSV (upper-case header,
-    bzip2) to the shared scratch folder, then read back by header name."""
+    bzip2) to the shared scratch folder, then read back by header name: a round
+    trip, whose time is that of writing bzip2."""
     path = scratch_path(spark, "measurement_csv")
     CSV.write_table_csv(load_study(spark, sf).measurement, path, compression="bzip2")
     return CSV.read_table_csv(spark, path, "measurement")
@@ -392,7 +491,7 @@ def _round_cast(spark, sf):
     )
 
 
-# -- follow-up design ------------------------------------------------------------
+# -- keyed draws and clamping ----------------------------------------------------
 
 
 @register("keyed_uniform")
@@ -400,16 +499,6 @@ def _keyed_uniform(spark, sf):
     return X.person_uniform(load_study(spark, sf).person, salt="person")
 
 
-@register("follow_up_schedule")
-def _follow_up_schedule(spark, sf):
-    return study(spark, sf).follow_up
-
-
-@register("weighted_bucket")
-def _weighted_bucket(spark, sf):
-    return X.weighted_bucket(study(spark, sf).follow_up)
-
-
 @register("clamped_values")
 def _clamped_values(spark, sf):
     return study(spark, sf).clamped().select(

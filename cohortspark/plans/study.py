@@ -2,9 +2,11 @@
 
 ``Study`` wires the operators together for one disease (and optionally one
 analyte). Each derived frame is built once per ``Study`` and reused, so a
-report that needs several of them is still one plan: Spark reuses the shared
-exchanges (cohort aggregates, person-keyed shuffles) instead of recomputing.
-Nothing is collected; frames are only evaluated by the caller's action.
+report that needs several of them is still one plan. Frames are only evaluated
+by the caller's action, with one exception that the method names say: exact
+percentiles read a copy that is written when ``summary``, ``summary_by_concept``,
+``by_age_sex`` (or a report of them) is first asked for. ``release`` deletes
+these copies.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from ..operators import stats as S
 from ..operators import stratify as T
 from ..sources import model
 from ..sources.dimensions import catalogue_frame, clamp_bounds_frame
-from ..session import materialize
+from ..session import Scratch
 from ..sources.fixtures import StudyTables
 
 
@@ -35,34 +37,42 @@ class Study:
         disease_id: int = model.DEFAULT_DISEASE_ID,
         measurement_concept_id: int | None = None,
         default_index_date: dt.date | None = model.DEFAULT_INDEX_DATE,
+        activity: DataFrame | None = None,
+        scratch: Scratch | None = None,
     ):
+        """``activity`` (``cohorts.measurement_activity``, for instance a stored
+        copy) gives first measurement dates and rows per person to the control
+        index and to the outcome join's salting; without it each aggregates what
+        it needs. ``scratch`` owns the written copies (default: a new one)."""
         self.t = tables
         self.spark = tables.person.sparkSession
         self.disease_id = int(disease_id)
         self.measurement_concept_id = measurement_concept_id
         self.default_index_date = default_index_date
-        self._share_activity = False
+        self.activity = activity
+        self.scratch = scratch or Scratch(self.spark)
+
+    @classmethod
+    def prepared(cls, tables: StudyTables, *args, **kw) -> Study:
+        """A study whose per-person measurement aggregate is written first, so that
+        the measurement table is aggregated once for both of its uses."""
+        study = cls(tables, *args, **kw)
+        study.activity = study.scratch.materialize(C.measurement_activity(tables.measurement), "person_activity")
+        return study
+
+    def release(self) -> int:
+        """Delete the copies this study wrote."""
+        return self.scratch.release()
 
     # -- cohorts ---------------------------------------------------------
     @cached_property
     def case(self) -> DataFrame:
         return C.case_cohort(self.t.condition, self.disease_id)
 
-    @cached_property
-    def activity(self) -> DataFrame:
-        """Per-person first measurement date and row count, aggregated once
-        and written. Used when the outcome join is part of the work: then
-        the control index and the join's salting both read it, and the
-        measurement table is aggregated once instead of twice."""
-        return materialize(C.measurement_activity(self.t.measurement), "person_activity")
-
     @cached_property
     def control(self) -> DataFrame:
-        # reports that never reach the outcome join keep the plain lazy
-        # first-measurement aggregate (no write); see ``measurements``
-        activity = self.activity if self._share_activity else None
         return C.control_cohort(
-            self.t.person, self.case, self.t.measurement, self.default_index_date, activity=activity
+            self.t.person, self.case, self.t.measurement, self.default_index_date, activity=self.activity
         )
 
     @cached_property
@@ -74,6 +84,10 @@ class Study:
     def demographics(self) -> DataFrame:
         return D.demographics(self.cohorts, self.t.person, self.t.concept)
 
+    @cached_property
+    def ages(self) -> DataFrame:
+        return D.ages(self.cohorts, self.t.person)
+
     @cached_property
     def profile(self) -> DataFrame:
         return D.demographic_profile(self.demographics)
@@ -87,31 +101,27 @@ class Study:
             m = m.where(F.col("measurement_concept_id") == int(self.measurement_concept_id))
         return m
 
+    @property
     def salting_counts(self) -> DataFrame | None:
-        """Rows per person for the outcome join's salting, from the shared
-        aggregate (all rows: an upper bound per person). Call it before the
-        cohorts are built so the control cohort reads the same aggregate;
-        None when the control cohort was already built on its own."""
-        if "control" not in self.__dict__:
-            self._share_activity = True
-        return self.activity.select("person_id", "n_rows") if self._share_activity else None
+        """Rows per person for the outcome join's salting (all rows: an upper
+        bound), from the shared aggregate if there is one."""
+        return self.activity.select("person_id", "n_rows") if self.activity is not None else None
 
     @cached_property
     def measurements(self) -> DataFrame:
-        counts = self.salting_counts()
-        return O.extract_measurements(self.analyte_measurements, self.cohorts, counts)
+        return O.extract_measurements(self.analyte_measurements, self.cohorts, self.salting_counts)
 
     @cached_property
     def summary(self) -> DataFrame:
-        return S.group_stats(self.measurements, ["cohort"])
+        return S.group_stats(self.measurements, ["cohort"], scratch=self.scratch)
 
     @cached_property
     def summary_by_concept(self) -> DataFrame:
-        return S.group_stats(self.measurements, ["cohort", "measurement_concept_id"])
+        return S.group_stats(self.measurements, ["cohort", "measurement_concept_id"], scratch=self.scratch)
 
     @cached_property
     def by_age_sex(self) -> DataFrame:
-        return T.measurement_by_age_sex(self.measurements, self.t.person, self.t.concept)
+        return T.measurement_by_age_sex(self.measurements, self.t.person, self.t.concept, scratch=self.scratch)
 
     # -- reports -----------------------------------------------------------
     @cached_property
@@ -130,19 +140,15 @@ class Study:
     def age_sex_pivot(self) -> DataFrame:
         return R.age_sex_pivot(self.measurements, self.t.person, self.t.concept)
 
-    # -- follow-up design --------------------------------------------------
-    @cached_property
-    def follow_up(self) -> DataFrame:
-        return X.expand_follow_up(X.follow_up_members(self.cohorts))
-
     def clamped(self) -> DataFrame:
         return X.clamp_by_category(self.measurements, clamp_bounds_frame(self.spark))
 
     # -- SQL surface and the derived-table build ---------------------------
     def frames(self) -> dict[str, DataFrame]:
-        """The study's inputs and derived tables under their table names."""
-        mc = self.measurements  # first, so the cohorts share the per-person aggregate
+        """The study's inputs and row-level derived tables under their table
+        names, all lazy."""
         demog = self.demographics
+        mc = self.measurements
         return {
             "person": self.t.person,
             "condition_occurrence": self.t.condition,
@@ -155,40 +161,55 @@ class Study:
             "measurements_case": mc.where(F.col("cohort") == model.CASE),
             "measurements_control": mc.where(F.col("cohort") == model.CONTROL),
             "measurements_combined": mc,
-            "measurement_summary": self.summary,
-            "measurement_by_age_sex": self.by_age_sex,
         }
 
-    def register_views(self, prefix: str = "") -> list[str]:
-        """Register every study frame as a session temp view, so the study
-        can also be queried with SQL (``spark.sql(text, args=...)``)."""
+    def reports(self) -> dict[str, DataFrame]:
+        """The statistics tables; asking for them writes the copies they read."""
+        return {"measurement_summary": self.summary, "measurement_by_age_sex": self.by_age_sex}
+
+    def register_views(self, prefix: str = "", reports: bool = True) -> list[str]:
+        """Register the study's frames as session temp views, so the study can
+        also be queried with SQL (``spark.sql(text, args=...)``). Without
+        ``reports`` nothing is executed."""
         names = []
-        for name, df in self.frames().items():
+        for name, df in (self.frames() | (self.reports() if reports else {})).items():
             df.createOrReplaceTempView(prefix + name)
             names.append(prefix + name)
         return names
 
-    def build_tables(self, prefix: str = "", buckets: int | None = None) -> dict[str, str]:
+    def build_tables(self, prefix: str = "", buckets: int | None = None, folder: str | None = None) -> dict[str, str]:
         """Create-or-replace the derived tables, in dependency order.
 
+        Cohorts, demographics and the outcome table are stored first; what
+        depends on one is built from its stored form, so the outcome join runs
+        once, and the reports read its stored rows.
+
         The one-row-per-person tables (cohorts, demographics) are bucketed by
         ``person_id`` with one bucket count, so joins among them read
         co-located buckets instead of shuffling; a person cannot be hot in
         them. The measurement table is stored unbucketed: one person may
         own a large share of its rows, and a join that shuffles it keeps
         AQE's skew-join splitting, which a bucketed scan would give up. The
-        aggregated reports are small and stored plain.
+        aggregated reports are small and stored plain. ``folder`` (optional)
+        holds the tables' files instead of the warehouse.
         """
         from ..sources.sinks import save_table
 
-        per_person = ["cohort_case", "cohort_control", "demographics_case", "demographics_control"]
-        plain = ["measurements_combined", "measurement_summary", "measurement_by_age_sex"]
-        frames = self.frames()
         built = {}
-        for name in per_person:
-            save_table(frames[name], prefix + name, bucket_by="person_id", buckets=buckets)
-            built[name] = prefix + name
-        for name in plain:
-            save_table(frames[name], prefix + name)
+
+        def store(name: str, df: DataFrame, bucketed: bool = False) -> DataFrame:
+            path = f"{folder.rstrip('/')}/{prefix}{name}" if folder else None
+            save_table(df, prefix + name, bucket_by="person_id" if bucketed else None, buckets=buckets, path=path)
             built[name] = prefix + name
+            return self.spark.table(prefix + name)
+
+        case = store("cohort_case", self.case, bucketed=True)
+        control = store("cohort_control", self.control, bucketed=True)
+        cohorts = C.cohort_union(case, control)
+        demog = D.demographics(cohorts, self.t.person, self.t.concept)
+        for name, tag in (("demographics_case", model.CASE), ("demographics_control", model.CONTROL)):
+            store(name, demog.where(F.col("cohort") == tag).drop("cohort"), bucketed=True)
+        mc = store("measurements_combined", O.extract_measurements(self.analyte_measurements, cohorts, self.salting_counts))
+        store("measurement_summary", S.group_stats(mc, ["cohort"], scratch=self.scratch))
+        store("measurement_by_age_sex", T.measurement_by_age_sex(mc, self.t.person, self.t.concept, scratch=self.scratch))
         return built

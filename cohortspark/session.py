@@ -57,46 +57,77 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
-_SCRATCH: list[str] = []
+class Scratch:
+    """Owner of written intermediate tables under the shared folder.
 
+    Every copy belongs to one owner, and ``release`` deletes only that owner's
+    copies: releasing one study cannot remove files that another one's lazy
+    frames still read. Usable as a context manager.
+    """
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, unique folder under the shared checkpoint location.
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: list[str] = []
+
+    def path(self, name: str) -> str:
+        """A fresh, unique folder, remembered until ``release``."""
+        path = f"{checkpoint_dir(self.spark).rstrip('/')}/scratch/{name}-{uuid.uuid4().hex}"
+        self.paths.append(path)
+        return path
+
+    def materialize(self, df, name: str):
+        """Write ``df`` once as parquet and read it back.
+
+        Used where an operator must pass over the same derived rows more than
+        once: the expensive upstream (scans, joins) runs a single time, the
+        written copy survives executor loss, and each later pass reads only the
+        columns it needs.
+        """
+        path = self.path(name)
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.parquet(path)
+
+    def release(self) -> int:
+        """Delete this owner's copies (through Hadoop's FileSystem, so on any
+        shared store); returns how many there were. Call it once the frames that
+        read them have been consumed."""
+        jvm = self.spark.sparkContext._jvm
+        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        removed = 0
+        while self.paths:
+            path = jvm.org.apache.hadoop.fs.Path(self.paths.pop())
+            fs = path.getFileSystem(conf)
+            if fs.exists(path):
+                fs.delete(path, True)
+                removed += 1
+        return removed
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *exc):
+        self.release()
 
-    Every path handed out is remembered, so ``release_scratch`` can remove
-    exactly what this process created once its results are consumed.
-    """
-    base = checkpoint_dir(spark).rstrip("/")
-    path = f"{base}/scratch/{name}-{uuid.uuid4().hex}"
-    _SCRATCH.append(path)
-    return path
+
+# Owner of the copies that registered queries make for the caller who asked for
+# the query; that caller releases them.
+_QUERIES: dict[str, Scratch] = {}
+
+
+def query_scratch(spark: SparkSession) -> Scratch:
+    return _QUERIES.setdefault(spark.sparkContext.applicationId, Scratch(spark))
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder owned by the session's registered queries."""
+    return query_scratch(spark).path(name)
 
 
 def release_scratch(spark: SparkSession) -> int:
-    """Delete the scratch folders this process created (through Hadoop's
-    FileSystem, so it works on any shared store). Call it after the frames
-    that read them have been consumed; returns how many were removed."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    removed = 0
-    while _SCRATCH:
-        path = jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
-        fs = path.getFileSystem(conf)
-        if fs.exists(path):
-            fs.delete(path, True)
-            removed += 1
-    return removed
+    """Delete the copies that registered queries of this session made."""
+    return query_scratch(spark).release()
 
 
 def materialize(df, name: str):
-    """Write ``df`` once as parquet in the shared folder and read it back.
-
-    Used where an operator must pass over the same derived rows more than
-    once: the expensive upstream (scans, joins) runs a single time, the
-    written copy survives executor loss, and each later pass reads only the
-    columns it needs.
-    """
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    """A written copy owned by the session's registered queries."""
+    return query_scratch(df.sparkSession).materialize(df, name)

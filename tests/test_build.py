@@ -43,3 +43,35 @@ def test_parquet_extract_with_dates_and_row_ids(spark, tables):
     want = sorted(tables.measurement.drop("measurement_row").collect())
     assert sorted(t.measurement.drop("measurement_row").collect()) == want
     assert sorted(t.person.collect()) == sorted(tables.person.collect())
+
+
+def test_build_joins_the_outcomes_once(spark, tables, monkeypatch):
+    """Plans that are written or exported, and how many of them scan the
+    measurement extract: the per-person aggregate and the outcome table."""
+    from cohortspark.plans import build as B
+    from cohortspark.plans import study as P
+    from cohortspark.session import Scratch
+    from cohortspark.sources import sinks
+
+    src = tempfile.mkdtemp(prefix="cohortspark-once-")
+    tables.person.write.parquet(os.path.join(src, "person"))
+    tables.condition.write.parquet(os.path.join(src, "condition_occurrence"))
+    tables.measurement.drop("measurement_row").write.parquet(os.path.join(src, "measurement"))
+    scans = []
+
+    def counted(real, at):
+        def call(*args, **kw):
+            plan = args[at]._jdf.queryExecution().executedPlan().toString()
+            scans.append(sum("FileScan" in line and "value_as_number" in line for line in plan.split("\n")))
+            return real(*args, **kw)
+
+        return call
+
+    monkeypatch.setattr(sinks, "save_table", counted(sinks.save_table, 0))
+    monkeypatch.setattr(B, "export_frame", counted(B.export_frame, 0))
+    monkeypatch.setattr(Scratch, "materialize", counted(Scratch.materialize, 1))
+    built = B.build(spark, src, "parquet", prefix="once_", buckets=2, export=tempfile.mkdtemp(prefix="cohortspark-once-out-"))
+    assert sum(scans) == 1
+    assert P.Study is B.Study
+    for name in built.values():
+        spark.sql(f"DROP TABLE {name}")

@@ -32,16 +32,14 @@ def brute_percentile(values, p):
     return float(np.percentile(vs, p * 100, method="linear")) if vs else None
 
 
-@pytest.mark.parametrize("slices,local_limit", [(1, 0), (3, 0), (64, 0), (8, None), (8, 10)])
-def test_exact_percentiles_match_brute_force(spark, slices, local_limit):
-    # local_limit 0 forces the distributed path; None takes the size-checked
-    # local path here; 10 is below the histogram size, so distributed again
+@pytest.mark.parametrize("slices", [1, 3, 64])
+def test_exact_percentiles_match_brute_force(spark, slices):
     rows = skewed_rows()
     df = spark.createDataFrame(rows, "g string, person_id long, v double")
     pct = {"p10": 0.1, "p25": 0.25, "median": 0.5, "p75": 0.75, "p99": 0.99}
     got = {
         r.g: r
-        for r in exact_percentiles(df, ["g"], "v", pct, num_slices=slices, local_limit=local_limit).collect()
+        for r in exact_percentiles(df, ["g"], "v", pct, num_slices=slices).collect()
     }
     groups = {}
     for g, _, v in rows:
@@ -54,11 +52,31 @@ def test_exact_percentiles_match_brute_force(spark, slices, local_limit):
 def test_exact_percentiles_null_group_key_and_global(spark):
     rows = [(None, 1.0), (None, 3.0), ("a", 2.0)]
     df = spark.createDataFrame(rows, "g string, v double")
-    for limit in (0, None):
-        got = {r.g: r.m for r in exact_percentiles(df, ["g"], "v", {"m": 0.5}, local_limit=limit).collect()}
-        assert got == {None: 2.0, "a": 2.0}
-        glob = exact_percentiles(df, [], "v", {"m": 0.5}, local_limit=limit).collect()
-        assert glob[0].m == 2.0
+    got = {r.g: r.m for r in exact_percentiles(df, ["g"], "v", {"m": 0.5}).collect()}
+    assert got == {None: 2.0, "a": 2.0}
+    glob = exact_percentiles(df, [], "v", {"m": 0.5}).collect()
+    assert glob[0].m == 2.0
+
+
+def test_exact_percentiles_equal_the_built_in_bit_for_bit(spark):
+    import struct
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(3)
+    rows = [(f"g{i % 40}", rng.uniform(-1, 1) * 10 ** rng.randrange(-5, 9)) for i in range(4000)]
+    rows += [("inf", float("-inf")), ("inf", 5.0), ("both", float("-inf")), ("both", float("inf"))]
+    rows += [("big", -1.7e308), ("big", 1.7e308), ("same", 0.1), ("same", 0.1), ("null", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    pct = {"p10": 0.1, "p25": 0.25, "m": 0.5, "p75": 0.75, "p99": 0.99}
+    got = {r.g: r for r in exact_percentiles(df, ["g"], "v", pct, num_slices=7).collect()}
+    want = df.where("v is not null").groupBy("g").agg(*[F.percentile("v", p).alias(n) for n, p in pct.items()])
+    bits = lambda x: struct.pack(">d", x)
+    rows = want.collect()
+    assert set(got) == {r.g for r in rows}
+    for r in rows:
+        for n in pct:
+            assert bits(getattr(got[r.g], n)) == bits(getattr(r, n)), (r.g, n)
 
 
 def test_group_stats_against_duckdb(spark):
@@ -116,15 +134,9 @@ def test_weighted_stats_equal_expanded_rows(spark):
     expanded = spark.createDataFrame(
         [(g, p, v) for g, p, v, w in base for _ in range(w)], "cohort string, person_id long, value_numeric double"
     )
-    for local in ("0", None):
-        if local:
-            spark.conf.set("cohortspark.percentile.localLimit", local)
-        try:
-            a = sorted(tuple(r) for r in group_stats(weighted, ["cohort"], weight_col="w").collect())
-            b = sorted(tuple(r) for r in group_stats(expanded, ["cohort"]).collect())
-        finally:
-            spark.conf.unset("cohortspark.percentile.localLimit")
-        assert a == b
+    a = sorted(tuple(r) for r in group_stats(weighted, ["cohort"], weight_col="w").collect())
+    b = sorted(tuple(r) for r in group_stats(expanded, ["cohort"]).collect())
+    assert a == b
 
 
 def test_global_stats_without_groups_match_duckdb(spark):
@@ -158,3 +170,24 @@ def test_global_weighted_stats_equal_expanded(spark):
     a = group_stats(weighted, [], weight_col="w")
     assert "CartesianProduct" not in a._jdf.queryExecution().executedPlan().toString()
     assert tuple(a.collect()[0]) == tuple(group_stats(expanded, []).collect()[0])
+
+
+def test_global_stats_of_no_rows(spark):
+    none = spark.createDataFrame([], "person_id long, value_numeric double")
+    got = group_stats(none, []).collect()
+    assert len(got) == 1 and got[0].n_measurements == 0 and got[0].n_patients == 0 and got[0].median_value is None
+
+
+def test_outcomes_by_disease_match_one_study_each(spark):
+    from cohortspark.plans.registry import QUERIES, study
+    from conftest import SF_SMALL
+
+    many = QUERIES["summary_by_disease_and_concept"](spark, SF_SMALL).collect()
+    strata = QUERIES["age_sex_by_disease_and_concept"](spark, SF_SMALL).collect()
+    assert len({r.disease_concept_id for r in many}) == 4
+    for disease in (201826, 320128):
+        one = study(spark, SF_SMALL, disease_id=disease)
+        assert sorted(tuple(r)[1:] for r in many if r.disease_concept_id == disease) == sorted(map(tuple, one.summary_by_concept.collect()))
+    analyte = study(spark, SF_SMALL, disease_id=320128, measurement_concept_id=3004501)
+    own = [tuple(r)[2:] for r in strata if (r.disease_concept_id, r.measurement_concept_id) == (320128, 3004501)]
+    assert sorted(own, key=str) == sorted(map(tuple, analyte.by_age_sex.collect()), key=str)

@@ -1,11 +1,16 @@
 """Plan shape: anti joins, broadcasts of fixed dimensions, pushdown, no UDFs."""
 
 import os
+import re
 import tempfile
+import uuid
+
+import pytest
 
 from cohortspark.operators import cohorts as C
 from cohortspark.operators import outcomes as O
-from cohortspark.plans.registry import QUERIES, study
+from cohortspark.plans.registry import PERCENTILE, QUERIES, STORED, study
+from cohortspark.session import query_scratch
 from conftest import SF_SMALL
 
 
@@ -22,9 +27,63 @@ def test_control_cohort_is_left_anti_not_null_aware(spark):
     assert "LeftAnti" in p2 and "NullAware" not in p2 and "BroadcastNestedLoopJoin" not in p2
 
 
-def test_concept_dimension_is_broadcast(spark):
-    p = plan(study(spark, SF_SMALL).demographics)
-    assert "BroadcastExchange" in p
+GENDER_QUERIES = ["gender_labels", "demographics", "demographic_profile", "demographic_report", "gender_counts", "pct_male",
+                  "profile_display", "age_at_index", "age_bands", "age_sex_pivot"]
+
+
+@pytest.mark.parametrize("key", GENDER_QUERIES)
+def test_persons_never_move_on_their_gender(spark, key):
+    """Three gender values: a shuffle on them would put all persons in three tasks."""
+    p = plan(QUERIES[key](spark, SF_SMALL))
+    assert not re.search(r"hashpartitioning\(gender_concept_id", p)
+    joins = [line for line in p.split("\n") if "Join" in line and "gender_concept_id" in line]
+    if key in ("age_at_index", "age_bands"):
+        assert not joins
+    else:
+        assert joins and all("BroadcastHashJoin" in j for j in joins)
+
+
+def test_age_sex_input_never_moves_on_gender(spark):
+    from cohortspark.operators.stratify import with_age_band_and_gender
+
+    s = study(spark, SF_SMALL)
+    rows = s.measurements.select("cohort", "person_id", "cohort_index_date", "value_numeric")
+    p = plan(with_age_band_and_gender(rows, s.t.person, s.t.concept))
+    assert "hashpartitioning(gender_concept_id" not in p and re.search(r"BroadcastHashJoin \[gender_concept_id", p)
+
+
+def jobs_of(spark, build):
+    """Number of Spark jobs that building starts."""
+    group = f"build-{uuid.uuid4().hex}"
+    spark.sparkContext.setJobGroup(group, "")
+    try:
+        build()
+    finally:
+        spark.sparkContext.setJobGroup("none", "")
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+FOOTERS = 4  # customer, orders (twice) and lineitem
+
+
+@pytest.mark.parametrize("key", sorted(set(QUERIES) - PERCENTILE - STORED - {"measurement_seq"}))
+def test_building_a_query_only_reads_footers(spark, key):
+    most = 2 * FOOTERS if key == "load_checks" else FOOTERS
+    assert jobs_of(spark, lambda: QUERIES[key](spark, SF_SMALL)) <= most
+
+
+def test_building_statistics_writes_one_copy(spark):
+    # one write: the range partitioning's sample and the write itself, each with
+    # the stages of one outcome join
+    for key in sorted(PERCENTILE):
+        before = len(query_scratch(spark).paths)
+        QUERIES[key](spark, SF_SMALL)
+        assert len(query_scratch(spark).paths) - before == 1, key
+
+
+def test_registering_views_runs_no_job(spark):
+    s = study(spark, SF_SMALL)
+    assert jobs_of(spark, lambda: s.register_views(prefix="lazy_", reports=False)) == 0
 
 
 def test_no_python_in_any_query_plan(spark):

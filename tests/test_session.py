@@ -2,7 +2,7 @@
 
 import os
 
-from cohortspark.session import checkpoint_dir, materialize, release_scratch, scratch_path
+from cohortspark.session import Scratch, checkpoint_dir, materialize, release_scratch, scratch_path
 
 
 def test_checkpoint_dir_from_session(spark):
@@ -10,6 +10,16 @@ def test_checkpoint_dir_from_session(spark):
     assert d and d == spark.sparkContext.getCheckpointDir()
 
 
+def test_owners_release_only_their_own_copies(spark):
+    a = Scratch(spark)
+    with Scratch(spark) as b:
+        kept, gone = a.materialize(spark.range(3), "a"), b.materialize(spark.range(4), "b")
+        assert gone.count() == 4
+    assert kept.count() == 3
+    assert not os.path.exists(os.path.dirname(gone.inputFiles()[0].replace("file:", "")))
+    assert a.release() == 1 and a.release() == 0
+
+
 def test_materialize_then_release(spark):
     release_scratch(spark)  # start from a clean list
     df = materialize(spark.range(10).toDF("x"), "unit")
