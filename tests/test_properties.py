@@ -19,12 +19,10 @@ SETTINGS = settings(max_examples=8, deadline=None, suppress_health_check=[Health
 
 
 @SETTINGS
-@given(rows=ROWS, p=st.sampled_from([0.0, 0.1, 0.25, 0.5, 0.9, 1.0]), slices=st.integers(1, 9),
-       local=st.sampled_from([0, None]))
-def test_percentile_property(spark, rows, p, slices, local):
+@given(rows=ROWS, p=st.sampled_from([0.0, 0.1, 0.25, 0.5, 0.9, 1.0]), slices=st.integers(1, 9))
+def test_percentile_property(spark, rows, p, slices):
     df = spark.createDataFrame(rows, "g string, v double")
-    got = {r.g: r.q for r in exact_percentiles(df, ["g"], "v", {"q": p}, num_slices=slices,
-                                               local_limit=local).collect()}
+    got = {r.g: r.q for r in exact_percentiles(df, ["g"], "v", {"q": p}, num_slices=slices).collect()}
     groups = {}
     for g, v in rows:
         if v is not None:
