@@ -158,7 +158,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).join(F.broadcast(few), "doc_id")
     shape = F.pandas_udf(lambda texts: pd.Series([features(t).tolist() for t in texts], dtype=object), "array<double>")
     rows = found.select("doc_id", "quality", shape("text").alias("x")).orderBy(turn, "doc_id", "x").limit(max_rows).collect()
-    return bradley_terry(np.array([r["x"] for r in rows]).reshape(len(rows), -1), np.array([r["quality"] for r in rows]))
+    return bradley_terry(np.array([r["x"] for r in rows]).reshape(len(rows), N_FEATURES), np.array([r["quality"] for r in rows]))
 
 
 def choose_threshold(model: Model, scored: DataFrame, labels: DataFrame, levels: int = LEVELS) -> Model:
