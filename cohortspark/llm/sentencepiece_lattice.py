@@ -8,8 +8,8 @@ any loss. Each distinct unit is encoded once:
 1. its substrings of at most the longest piece's length are exploded;
 2. an equi-join with the piece table (bounded by the model file, broadcast)
    leaves the edges of its lattice;
-3. edges are grouped by unit (the rows are partitioned by unit already, so no
-   further shuffle) and a higher-order ``aggregate`` folds them to the best
+3. edges are grouped by unit (the rows of a unit are together already, so no
+   further shuffle or sort) and a higher-order ``aggregate`` folds them to the best
    path.
 
 The fold is the model's own. For a unigram model it is Viterbi: the best sum of
@@ -42,26 +42,25 @@ from __future__ import annotations
 import hashlib
 import heapq
 import struct
-import uuid
 from dataclasses import dataclass, field
 from functools import cached_property, lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import regex
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
-from .common import read, whole_text
+from .common import bucketed, read, whole_text
 
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-BUNDLE = 32_000_000
+BUNDLE = 14_000_000
+#: Characters cut at a time.
+SLICE = 2_000_000
 GROUP = 4096
 #: Number of a unit in its bundle, below the bundle's number in one long.
 UNIT_BITS = 25
@@ -129,6 +128,10 @@ class Model:
         names = [f"<0x{b:02X}>" for b in range(256)]
         return [at[n] for n in names] if all(n in at for n in names) else []
 
+    def single(self, char: str) -> list[int]:
+        """Ids of a character on its own: its piece, or else its bytes."""
+        return [self.table[char][0]] if char in self.table else self.fallback(char)
+
     def fallback(self, text: str) -> list[int]:
         """Ids of characters that no piece covers."""
         return [self.byte_ids[b] for b in text.encode("utf-8", "replace")] if self.byte_ids else [self.unknown]
@@ -137,28 +140,49 @@ class Model:
         text = text.replace(" ", SPACE)
         return SPACE + text if text and self.add_prefix else text
 
-    def coarse(self) -> regex.Pattern:
-        """Runs that hold every unit whole."""
-        inner = "".join(sorted({c for two in self.neighbours for c in two} - {SPACE}))
-        word = f"{SPACE}*[{regex.escape(inner, special_only=False)}]+|" if inner else ""
-        return regex.compile(f"(?s){word}{SPACE}+|.")
-
-    def units(self, run: str) -> list[str]:
-        """A run, cut wherever no piece spans."""
-        out, at = [], 0
-        for i in range(1, len(run)):
-            if run[i - 1 : i + 1] not in self.neighbours:
-                out.append(run[at:i])
-                at = i
-        return [*out, run[at:]]
-
-    def decode(self, ids) -> str:
-        out = bytearray()
-        table = self.decoded
-        for i in ids:
-            out += table[i]
-        text = out.decode("utf-8", "replace")
-        return text[1:] if self.add_prefix and text.startswith(" ") else text
+    @cached_property
+    def classes(self) -> tuple[np.ndarray, np.ndarray]:
+        """Class of every code point (0: in no piece of two characters or more) and
+        whether a class may follow another within a piece."""
+        of = {c: i + 1 for i, c in enumerate(sorted({c for two in self.neighbours for c in two}))}
+        classes = np.zeros(0x110000, np.uint16)
+        classes[[ord(c) for c in of]] = list(of.values())
+        follows = np.zeros((len(of) + 1, len(of) + 1), bool)
+        for two in self.neighbours:
+            follows[of[two[0]], of[two[1]]] = True
+        return classes, follows
+
+    def cut(self, texts: list[str]) -> tuple[pa.StringArray, np.ndarray]:
+        """The units of escaped texts, end to end, and how many each text has."""
+        lengths = np.array([len(t) for t in texts])
+        points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+        classes, follows = self.classes
+        kind = classes[points]
+        first = np.ones(len(points), bool)
+        first[1:] = ~follows[kind[:-1], kind[1:]]
+        doc_starts = (np.cumsum(lengths) - lengths)[lengths > 0]
+        first[doc_starts] = True
+        starts = np.flatnonzero(first)
+        sizes = np.ones(len(points), np.int32)
+        for least in (0x80, 0x800, 0x10000):
+            sizes += points >= least
+        ends = np.cumsum(sizes, dtype=np.int64)
+        offsets = np.concatenate([ends[starts] - sizes[starts], ends[-1:]]).astype(np.int32)
+        units = pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer("".join(texts).encode())) if len(starts) else pa.array([], pa.string())
+        counts = np.zeros(len(texts), np.int64)
+        counts[lengths > 0] = np.diff(np.searchsorted(starts, [*doc_starts, len(points)]))
+        return units, counts
+
+    def decoder(self):
+        """A function of an array of ids: the text's bytes."""
+        size = np.array([len(p) for p in self.decoded], np.int64)
+        start, flat = np.cumsum(size) - size, np.frombuffer(b"".join(self.decoded), np.uint8)
+
+        def text_of(ids: np.ndarray) -> bytes:
+            out = _gather(flat, start[ids], size[ids]).tobytes()
+            return out[1:] if self.add_prefix and out.startswith(b" ") else out
+
+        return text_of
 
     @cached_property
     def decoded(self) -> list[bytes]:
@@ -206,35 +230,30 @@ def load_model(path: str) -> Model:
 
 @dataclass
 class _Bundle:
-    numbers: dict[str, int] = field(default_factory=dict)
-    runs: dict[str, tuple[int, ...]] = field(default_factory=dict)
     docs: list[tuple] = field(default_factory=list)  # (doc_id, bytes, digest, units)
-    codes: list[np.ndarray] = field(default_factory=list)
+    units: list[pa.StringArray] = field(default_factory=list)
     size: int = 0
 
-    def add(self, doc_id, text: str, model: Model, coarse) -> None:
-        codes: list[int] = []
-        for run in coarse.findall(model.escape(text)):
-            known = self.runs.get(run)
-            if known is None:
-                known = self.runs[run] = tuple(self.numbers.setdefault(u, len(self.numbers)) for u in model.units(run))
-            codes += known
-        raw = text.encode("utf-8", "replace")
-        self.docs.append((doc_id, len(raw), hashlib.sha256(text.replace(SPACE, " ").encode("utf-8", "replace")).digest(), len(codes)))
-        self.codes.append(np.array(codes, np.int32))
-        self.size += len(text)
+    def add(self, doc_ids: list, texts: list[str], model: Model) -> None:
+        units, counts = model.cut([model.escape(t) for t in texts])
+        self.units.append(units)
+        for doc_id, text, n in zip(doc_ids, texts, counts.tolist()):
+            digest = hashlib.sha256(text.replace(SPACE, " ").encode("utf-8", "replace")).digest()
+            self.docs.append((doc_id, len(text.encode("utf-8", "replace")), digest, n))
+        self.size += sum(map(len, texts))
 
     def row(self, number: int) -> pa.RecordBatch:
         ids, sizes, digests, counts = zip(*self.docs)
-        planes = np.concatenate(self.codes).view(np.uint8).reshape(-1, 4).T.tobytes()
+        found = pa.concat_arrays(self.units).dictionary_encode()
+        codes = np.ascontiguousarray(found.indices.to_numpy(), np.int32)
         columns = {
             "bundle": pa.array([number], pa.int64()),
             "doc_ids": pa.array([ids], pa.list_(pa.int64())),
             "n_bytes": pa.array([sizes], pa.list_(pa.int64())),
             "digests": pa.array([b"".join(digests)], pa.binary()),
             "n_units": pa.array([counts], pa.list_(pa.int32())),
-            "codes": pa.array([planes], pa.binary()),
-            "units": pa.array([list(self.numbers)], pa.list_(pa.string())),
+            "codes": pa.array([codes.view(np.uint8).reshape(-1, 4).T.tobytes()], pa.binary()),
+            "units": pa.ListArray.from_arrays(pa.array([0, len(found.dictionary)], pa.int32()), found.dictionary),
         }
         return pa.RecordBatch.from_pydict(columns)
 
@@ -242,52 +261,99 @@ class _Bundle:
 BUNDLE_ROW = "bundle long, doc_ids array<long>, n_bytes array<long>, digests binary, n_units array<int>, codes binary, units array<string>"
 
 
+def _slices(parts, size: int):
+    """(doc_ids, texts) of consecutive documents, up to about ``size`` characters."""
+    for part in parts:
+        ids, texts, held = [], [], 0
+        for doc_id, text in zip(part.column(0).to_pylist(), part.column(1)):
+            ids.append(doc_id)
+            texts.append(text.as_py())
+            held += len(texts[-1])
+            if held >= size:
+                yield ids, texts
+                ids, texts, held = [], [], 0
+        if ids:
+            yield ids, texts
+
+
 def bundles(docs: DataFrame, model: Model, size: int = BUNDLE) -> DataFrame:
     """The documents in bundles, written once, bucketed by bundle."""
-    spark = docs.sparkSession
 
     def pack(parts):
-        coarse, made, number = model.coarse(), 0, TaskContext.get().partitionId() << 12
+        made, number = 0, TaskContext.get().partitionId() << 12
         held = _Bundle()
-        for part in parts:
-            for doc_id, text in zip(part.column(0).to_pylist(), part.column(1)):
-                held.add(doc_id, text.as_py(), model, coarse)
-                if held.size >= size:
-                    yield held.row(number + made)
-                    held, made = _Bundle(), made + 1
+        for doc_ids, texts in _slices(parts, min(SLICE, size)):
+            held.add(doc_ids, texts, model)
+            if held.size >= size:
+                yield held.row(number + made)
+                held, made = _Bundle(), made + 1
         if held.docs:
             yield held.row(number + made)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).mapInArrow(pack, BUNDLE_ROW)
-    name = f"sentencepiece_bundles_{uuid.uuid4().hex}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    path = scratch_path(spark, "sentencepiece-bundles")
-    rows.write.option("compression", "zstd").option("path", path).bucketBy(buckets, "bundle").saveAsTable(name)
-    return spark.table(name)
+    return bucketed(rows, "bundle", "sentencepiece-bundles")
 
 
 # -- the lattice ---------------------------------------------------------------
 
 
-def _substrings(unit: Column, longest: int, carried: Column) -> Column:
-    """All substrings of up to ``longest`` characters, and first one entry without
-    text that carries ``carried``."""
-    n = F.length(unit)
-    kind = "struct<start:int,stop:int,piece:string,at:array<long>>"
-    head = F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("stop"), F.lit(None).cast("string").alias("piece"), carried.alias("at")).cast(kind))
-    one = lambda s, w: F.struct(s.alias("start"), (s + w).alias("stop"), F.substring(unit, s + 1, w).alias("piece"), F.lit(None).cast("array<long>").alias("at")).cast(kind)
-    rows = F.transform(F.sequence(F.lit(0), n - 1), lambda s: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), n - s)), lambda w: one(s, w)))
-    return F.concat(head, F.flatten(rows))
+EDGES = "unit string, at array<long>, edges array<struct<start:int,stop:int,id:int,score:double>>"
+
+
+def _by_unit(parts):
+    """Rows (uid, unit, at, start, stop, id, score), each unit's together with the one
+    that carries unit and at in front -> one row per unit with its edges, best
+    score first, then by start."""
+    held = None
+
+    def grouped(rows: pa.Table) -> pa.RecordBatch:
+        uid, first = rows.column("uid").to_numpy(), np.flatnonzero(rows.column("unit").is_valid().to_numpy(zero_copy_only=False))
+        segment = np.repeat(np.arange(len(first)), np.diff([*first, len(uid)]))
+        if first[0] != 0 or (uid != uid[first][segment]).any():
+            raise RuntimeError("the rows of a unit are not together")
+        edge = np.ones(len(uid), bool)
+        edge[first] = False
+        start, stop, ids, score = (rows.column(c).to_numpy()[edge] for c in ("start", "stop", "id", "score"))
+        order = np.lexsort((start, -score, segment[edge]))
+        counts = np.bincount(segment[edge], minlength=len(first))
+        fields = [pa.array(start[order].astype(np.int32)), pa.array(stop[order].astype(np.int32)), pa.array(ids[order].astype(np.int32)), pa.array(score[order])]
+        edges = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.StructArray.from_arrays(fields, ["start", "stop", "id", "score"]))
+        heads = rows.take(pa.array(first)).combine_chunks()
+        return pa.RecordBatch.from_arrays([heads.column("unit").combine_chunks(), heads.column("at").combine_chunks(), edges], ["unit", "at", "edges"])
+
+    for part in parts:
+        rows = pa.Table.from_batches([part]) if held is None else pa.concat_tables([held, pa.Table.from_batches([part])])
+        starts = np.flatnonzero(rows.column("unit").is_valid().to_numpy())
+        cut = int(starts[-1]) if len(starts) else 0
+        if cut:
+            yield grouped(rows.slice(0, cut).combine_chunks())
+        held = rows.slice(cut)
+    if held is not None and held.num_rows:
+        yield grouped(held.combine_chunks())
 
 
 def lattice(units: DataFrame, model: Model) -> DataFrame:
-    """``units`` (unit, part, at), one row per unit and part -> (unit, part, at,
-    edges): edges array<struct<order, start, stop, id, score>>, best first."""
+    """``units`` (unit, at) -> (unit, at, edges): the pieces among the substrings of
+    each unit, best first. For BPE without the single characters, which its fold
+    starts from whether they are pieces or not.
+
+    The rows of a unit leave the explodes and the broadcast join together and in
+    order, so they are grouped where they are, without a further sort (checked:
+    anything else fails)."""
     pieces = F.broadcast(model.frame(units.sparkSession))
-    short = units.select("unit", "part", F.explode(_substrings(F.col("unit"), model.longest, F.col("at"))).alias("s")).select("unit", "part", "s.*")
-    met = short.join(pieces, "piece", "left").where("id is not null or at is not null")
-    edge = F.when(F.col("id").isNotNull(), F.struct((-F.col("score")).alias("order"), "start", "stop", "id", "score"))
-    return met.groupBy("unit", "part").agg(F.first("at", True).alias("at"), F.array_sort(F.collect_list(edge)).alias("edges"))
+    least = 2 if model.kind == BPE else 1
+    n, s, w = F.length("unit"), F.col("s"), F.col("w")
+    # position -1 has no text: its one row carries unit and at
+    numbered = units.select(F.monotonically_increasing_id().alias("uid"), "unit", "at")
+    starts = numbered.select("uid", "unit", "at", F.explode(F.sequence(F.lit(-1), F.greatest(n - least, F.lit(-1)))).alias("s"))
+    widths = F.explode(F.sequence(F.lit(least), F.when(s < 0, F.lit(least)).otherwise(F.least(F.lit(max(model.longest, least)), n - s))))
+    each = starts.select("uid", "unit", "at", "s", widths.alias("w"))
+    head = s < 0
+    cut = each.select("uid", "s", "w", F.when(~head, F.substring("unit", s + 1, w)).alias("piece"), F.when(head, F.col("unit")).alias("unit"), F.when(head, F.col("at")).alias("at"))
+    met = cut.join(pieces, "piece", "left").where(head | F.col("id").isNotNull())
+    zero = lambda c, kind: F.coalesce(c, F.lit(0)).cast(kind)
+    rows = met.select("uid", "unit", "at", s.alias("start"), (s + w).alias("stop"), zero("id", "int").alias("id"), zero("score", "double").alias("score"))
+    return rows.mapInArrow(_by_unit, EDGES)
 
 
 def _bit(n: Column) -> Column:
@@ -427,7 +493,7 @@ def long_tokens(units: DataFrame, model: Model) -> DataFrame:
 
 def unit_tokens(units: DataFrame, model: Model) -> DataFrame:
     """``units`` (unit, part, at) -> (unit, at, tokens): the best path of each."""
-    short = lattice(units.where(F.length("unit") <= MASK_CHARS), model)
+    short = lattice(units.where(F.length("unit") <= MASK_CHARS).select("unit", "at"), model)
     if model.kind == BPE:
         best = merge_fold(F.col("edges"), F.col("unit"))
     else:
@@ -470,11 +536,11 @@ def packed(tokens: DataFrame, model: Model) -> DataFrame:
                 for t in range(lo, hi):
                     if start[t] > at:
                         for c in unit[at : start[t]]:
-                            ids += model.fallback(c)
+                            ids += model.single(c)
                     ids.append(piece[t])
                     at = stop[t]
                 for c in unit[at:]:
-                    ids += model.fallback(c)
+                    ids += model.single(c)
                 counts.append(len(ids) - own)
             ids, counts = np.array(ids, np.int32), np.array(counts, np.int64)
             starts = np.cumsum(counts) - counts
@@ -496,12 +562,13 @@ def packed(tokens: DataFrame, model: Model) -> DataFrame:
     return tokens.select("unit", "at", "tokens").mapInArrow(pack, "bundle long, n int, blob binary")
 
 
-ENCODED = "doc_id long, n_bytes long, digest binary, ids array<int>"
+ENCODED = "doc_id long, n_bytes long, n_pieces long, ids_sha256 string, round_trip boolean, ids array<int>"
 
 
 def encode(docs: DataFrame, model: Model, size: int = BUNDLE) -> DataFrame:
-    """(doc_id, n_bytes, digest, ids): one row per document: UTF-8 length, SHA-256
-    of the text (U+2581 as space), and its piece ids."""
+    """(doc_id, n_bytes, n_pieces, ids_sha256, round_trip, ids): one row per
+    document: UTF-8 length, its piece ids, their digest (as little-endian 32-bit
+    numbers) and whether decoding gives the text back (U+2581 as space)."""
     table = bundles(docs, model, size)
     parts = max(1, -(-table.count() // GROUP))
     key = F.shiftleft("bundle", UNIT_BITS)
@@ -510,6 +577,7 @@ def encode(docs: DataFrame, model: Model, size: int = BUNDLE) -> DataFrame:
     blobs = packed(unit_tokens(units, model), model).groupBy("bundle").agg(F.collect_list(F.struct("n", "blob")).alias("blobs"))
 
     def unpack(parts_):
+        text_of = model.decoder()
         for part in parts_:
             for r in range(part.num_rows):
                 row = {name: part.column(i)[r] for i, name in enumerate(part.schema.names)}
@@ -536,14 +604,19 @@ def encode(docs: DataFrame, model: Model, size: int = BUNDLE) -> DataFrame:
                     own = codes[first : int(ends[hi - 1])]
                     sizes = np.concatenate([[0], np.cumsum(length[own])])
                     offsets = sizes[np.concatenate([[0], ends[lo:hi] - first])]
+                    pieces = _gather(found, start[own], length[own])
+                    docs_ids = [pieces[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
+                    same = [hashlib.sha256(text_of(p)).digest() == digests[32 * i : 32 * i + 32] for i, p in enumerate(docs_ids, lo)]
                     yield pa.RecordBatch.from_arrays(
                         [
                             doc_ids.slice(lo, hi - lo),
                             n_bytes.slice(lo, hi - lo),
-                            pa.array([digests[32 * i : 32 * i + 32] for i in range(lo, hi)], pa.binary()),
-                            pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(_gather(found, start[own], length[own]))),
+                            pa.array(np.diff(offsets).astype(np.int64)),
+                            pa.array([hashlib.sha256(p.astype("<i4").tobytes()).hexdigest() for p in docs_ids], pa.string()),
+                            pa.array(same, pa.bool_()),
+                            pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(pieces)),
                         ],
-                        ["doc_id", "n_bytes", "digest", "ids"],
+                        ["doc_id", "n_bytes", "n_pieces", "ids_sha256", "round_trip", "ids"],
                     )
                     lo = hi
 
@@ -556,31 +629,12 @@ def decode(ids: Column, model: Model) -> Column:
 
     @F.pandas_udf("string")
     def text(rows: pd.Series) -> pd.Series:
-        return pd.Series([None if r is None else model.decode(r) for r in rows], dtype=object)
+        text_of = model.decoder()
+        return pd.Series([None if r is None else text_of(np.asarray(r, np.int64)).decode("utf-8", "replace") for r in rows], dtype=object)
 
     return text(ids)
 
 
-def round_trips(encoded: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, n_bytes, n_pieces, ids_sha256, round_trip): the ids' digest (as
-    decimal numbers, comma-joined) and whether decoding gives the text back."""
-
-    def told(parts):
-        for part in parts:
-            ids, digests = part.column(3), part.column(2).to_pylist()
-            sha, same, count = [], [], []
-            for i in range(part.num_rows):
-                own = ids[i].values.to_numpy()
-                sha.append(hashlib.sha256(",".join(map(str, own.tolist())).encode()).hexdigest())
-                same.append(hashlib.sha256(model.decode(own.tolist()).encode("utf-8", "replace")).digest() == digests[i])
-                count.append(len(own))
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), pa.array(count, pa.int64()), pa.array(sha, pa.string()), pa.array(same, pa.bool_())], ["doc_id", "n_bytes", "n_pieces", "ids_sha256", "round_trip"]
-            )
-
-    return encoded.mapInArrow(told, "doc_id long, n_bytes long, n_pieces long, ids_sha256 string, round_trip boolean")
-
-
 def default_model() -> Model:
     import public_tokenizers
 
@@ -588,5 +642,4 @@ def default_model() -> Model:
 
 
 def op3_sentencepiece(spark, sf_dir: str) -> DataFrame:
-    model = default_model()
-    return round_trips(encode(read(spark, sf_dir, "documents"), model), model)
+    return encode(read(spark, sf_dir, "documents"), default_model()).drop("ids")

@@ -9,7 +9,6 @@ costs one stage at most.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from cohortspark.llm import decontaminate, quality_classifier, secret_scan, sentencepiece_lattice, simhash_dedup
 from cohortspark.llm.common import read, whole_text
@@ -38,8 +37,9 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_bytes, ids): the piece ids of every document."""
-    return sentencepiece_lattice.encode(docs, sentencepiece_lattice.default_model()).select("doc_id", "n_bytes", F.size("ids").cast("long").alias("n_pieces"), "ids")
+    """(doc_id, n_bytes, n_pieces, ids_sha256, round_trip, ids): the piece ids of
+    every document, and whether they decode to its text."""
+    return sentencepiece_lattice.encode(docs, sentencepiece_lattice.default_model())
 
 
 STAGES = [
