@@ -70,12 +70,12 @@ class Transducer(dict):
     def __init__(self, spec: dict):
         super().__init__()
         model = spec["model"]
-        steps = spec["normalizer"]["normalizers"]
-        cut, level = spec["pre_tokenizer"]["pretokenizers"]
+        steps = (spec.get("normalizer") or {}).get("normalizers", [])
+        cut, level = ((spec.get("pre_tokenizer") or {}).get("pretokenizers", []) + [{}, {}])[:2]
         kinds = [s["type"] for s in steps]
         fits = model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "ignore_merges", "byte_fallback"))
-        fits = fits and kinds == ["NFC", "Replace", "Lowercase"] and cut["type"] == "Split" and cut["behavior"] == "Removed" and cut["invert"]
-        if not fits or level["type"] != "ByteLevel" or level["add_prefix_space"] or level["use_regex"]:
+        fits = fits and kinds == ["NFC", "Replace", "Lowercase"] and cut.get("type") == "Split" and cut["behavior"] == "Removed" and cut["invert"]
+        if not fits or level.get("type") != "ByteLevel" or level["add_prefix_space"] or level["use_regex"]:
             raise ValueError("not a tokenizer of the supported kind")
         self.pattern = regex.compile(cut["pattern"]["Regex"])
         vocabulary, end = model["vocab"], model["end_of_word_suffix"]
