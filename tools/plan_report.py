@@ -1,4 +1,4 @@
-"""Summarise the physical plan of every registered query (PLANS.md).
+"""Summarise the physical plan of every registered study query (PLANS.md).
 
 For each query: shuffles by kind, broadcasts, join strategies, windows,
 scans with their pushed filters, and any Python evaluation. Reads the
@@ -35,7 +35,7 @@ def main() -> None:
     from cohortspark.session import local_session
 
     spark = local_session()
-    import __spark_entry__ as entry
+    from cohortspark.plans.registry import QUERIES
 
     print("# Physical plans of the registered queries\n")
     print(f"Generated by `tools/plan_report.py` on `{sf_dir}` (local session, AQE initial plans; "
@@ -43,7 +43,7 @@ def main() -> None:
     print("| query | hash shuffles | range shuffles | single-partition | broadcasts | joins | windows | python |")
     print("| --- | --- | --- | --- | --- | --- | --- | --- |")
     notes = []
-    for name, fn in entry.queries().items():
+    for name, fn in QUERIES.items():
         df = fn(spark, sf_dir)
         plan = df._jdf.queryExecution().executedPlan().toString()
         s = summarise(plan)
