@@ -149,7 +149,9 @@ def repeated_starts(texts: DataFrame, length: int, gram: int, step: int) -> Data
             yield columns[0], a, b, m, anchor, _key(text[a : b + length] + (m - a).to_bytes(4, "little"))
 
     runs = materialize(texts.select("row", "packed").mapInArrow(lambda parts: _emit(parts, RUNS, runs_of), _ddl(RUNS)), "spans-runs")
-    common = runs.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    # the small sides of the joins are written first: next to a plain read of one
+    # row per key, Spark can split a hot key of the other side
+    common = materialize(runs.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "spans-anchors")
     runs = materialize(runs.join(common, "anchor", "left_semi"), "spans-shared-runs")
 
     # round 1: whole runs
@@ -157,6 +159,7 @@ def repeated_starts(texts: DataFrame, length: int, gram: int, step: int) -> Data
     alike = materialize(runs.groupBy("anchor", "key").agg(F.count("*").alias("n"), F.min(place).alias("p")), "spans-run-classes")
     found = runs.join(alike.where("n > 1").select("anchor", "key"), ["anchor", "key"], "left_semi").select("row", F.col("a").alias("lo"), F.col("b").alias("hi"))
     unlike = alike.groupBy("anchor").agg(F.count("*").alias("k"), F.min("n").alias("least")).where("k > 1 and least = 1").select("anchor")
+    unlike = materialize(unlike, "spans-open-anchors")
     open_runs = alike.join(unlike, "anchor", "left_semi").select("p.*")
 
     # round 2: blocks of offsets from the anchor
@@ -178,6 +181,7 @@ def repeated_starts(texts: DataFrame, length: int, gram: int, step: int) -> Data
     classes = materialize(blocks.groupBy("core", "key").agg(F.count("*").alias("n"), F.min(F.struct("row", "lo", "hi")).alias("p")), "spans-block-classes")
     found_blocks = blocks.join(classes.where("n > 1").select("core", "key"), ["core", "key"], "left_semi").select("row", "lo", "hi")
     unlike_blocks = classes.groupBy("core").agg(F.count("*").alias("k"), F.min("n").alias("least")).where("k > 1 and least = 1").select("core")
+    unlike_blocks = materialize(unlike_blocks, "spans-open-cores")
     open_blocks = classes.join(unlike_blocks, "core", "left_semi").select("p.*", (F.col("n") == 1).alias("single"))
 
     # round 3: windows
@@ -190,7 +194,7 @@ def repeated_starts(texts: DataFrame, length: int, gram: int, step: int) -> Data
     asked = open_blocks.groupBy("row").agg(F.collect_list(F.struct("lo", "hi", "single")).alias("wanted"))
     met = asked.join(texts.select("row", "packed"), "row").select("row", "wanted", "packed")
     windows = materialize(met.mapInArrow(lambda parts: _emit(parts, WINDOWS, windows_of), _ddl(WINDOWS)), "spans-windows")
-    twice = windows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    twice = materialize(windows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "spans-twice")
     found_windows = windows.where("single").join(twice, "key", "left_semi").select("row", F.col("s").alias("lo"), F.col("s").alias("hi"))
     return found.union(found_blocks).union(found_windows)
 
