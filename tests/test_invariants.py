@@ -5,7 +5,7 @@ import pytest
 from cohortspark.plans.registry import QUERIES
 from conftest import SF_SMALL
 
-REPEATABLE = ["control_sample", "follow_up_schedule", "weighted_bucket", "keyed_uniform", "measurement_seq",
+REPEATABLE = ["control_sample", "weighted_bucket", "keyed_uniform", "measurement_seq",
               "measurement_summary", "clamped_values"]
 
 
