@@ -23,8 +23,3 @@ def parse_yyyymmdd(c: Column, strict: bool = True) -> Column:
 def days_between(later: Column, earlier: Column) -> Column:
     """Whole days from ``earlier`` to ``later`` (DATE_DIFF('day', earlier, later))."""
     return F.datediff(later, earlier).cast("int")
-
-
-def add_days(d: Column, n: Column) -> Column:
-    """DATE plus n days, staying DATE."""
-    return F.date_add(d, n.cast("int"))

@@ -18,20 +18,3 @@ def keyed_uniform(*keys: Column, salt: str) -> Column:
     parts = [F.lit(salt)] + [k.cast("string") for k in keys]
     digest = F.md5(F.concat_ws("|", *parts))
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") / F.lit(TWO_POW_32)
-
-
-def weighted_choice(u: Column, weighted) -> Column:
-    """Pick a category from one uniform draw and a cumulative weight table.
-
-    ``weighted`` is a list of (value, weight); weights are normalised. The
-    last category takes the remainder, so rounding never drops a row.
-    """
-    total = float(sum(w for _, w in weighted))
-    expr = None
-    acc = 0.0
-    for value, w in weighted[:-1]:
-        acc += w / total
-        cond = u < F.lit(round(acc, 12))
-        expr = F.when(cond, F.lit(value)) if expr is None else expr.when(cond, F.lit(value))
-    last = F.lit(weighted[-1][0])
-    return last if expr is None else expr.otherwise(last)

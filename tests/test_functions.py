@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from cohortspark.functions.bands import age_band, age_band_order
 from cohortspark.functions.dates import days_between, parse_yyyymmdd
-from cohortspark.functions.keyed import keyed_uniform, weighted_choice
+from cohortspark.functions.keyed import keyed_uniform
 from cohortspark.functions.numeric import clamp, percent, round_cast_int, round_dp
 from cohortspark.functions.text import grouped_int, label_or_fallback, plain_number
 from cohortspark.plans.oracle import ku
@@ -87,12 +87,6 @@ def test_keyed_uniform_matches_sql_and_is_stable(spark):
     assert again == got
 
 
-def test_weighted_choice_single_draw(spark):
-    df = spark.createDataFrame([(0.0,), (0.19,), (0.2,), (0.59,), (0.6,), (0.79,), (0.8,), (0.999,)], "u double")
-    pick = weighted_choice(F.col("u"), [(1, 0.2), (2, 0.4), (3, 0.2), (4, 0.2)])
-    assert [r[0] for r in df.select(pick).collect()] == [1, 1, 2, 2, 3, 3, 4, 4]
-
-
 def test_text_helpers(spark):
     df = spark.createDataFrame([(None, 7, 1234567, 26.0), ("", 8, 5, 25.5), ("Name", 9, 0, 100.0)],
                                "n string, i int, c long, v double")
