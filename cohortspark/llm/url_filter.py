@@ -12,9 +12,11 @@ PageRank spreads trust along the links from the hosts with pages that a rule
 allows, and distrust against the links from the hosts with pages that a rule
 blocks: who links to a blocked host is suspect. A seed's weight is its number of
 such pages; rank that reaches a host without further links goes back to the
-seeds. A host is blocked if the distrust that came to it over links exceeds its
-trust by more than ``threshold``. (Its own seed weight does not count against it:
-a rule on one path does not condemn the rest of the host.)
+seeds. A host is blocked if, of its trust and the distrust that came to it over
+links, more than the share ``threshold`` is distrust. Both are parts of a whole of
+1, so they shrink as the table grows and as a seed gets more linkers; their ratio
+does not. (Its own seed weight does not count against it: a rule on one path does
+not condemn the rest of the host.)
 
 Scale. Host edges are aggregated before anything else, with a partial aggregate,
 so a host with a third of all pages is a few rows. Rules meet the distinct
@@ -44,7 +46,9 @@ RULES = [
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 ]
-DAMPING, ROUNDS, TOLERANCE, THRESHOLD = 0.85, 30, 1e-6, 1e-4
+DAMPING, ROUNDS, TOLERANCE = 0.85, 30, 1e-6
+#: Share of distrust in trust and distrust above which a host is blocked; ties within rounding are allowed.
+THRESHOLD, ROUNDING = 0.5, 1e-9
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The authority of an absolute or protocol-relative link.
 _HREF = r"""(?i)\bhref\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s>]+)"""
@@ -123,7 +127,7 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], threshold:
     scores = trust.join(distrust, "host", "full")
     zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
     known = judged.join(scores, "host", "left").select("page_id", "host", "path", "rule", "rule_verdict", zero("trust"), zero("distrust"))
-    own = F.when(F.col("distrust") > F.col("trust") + threshold, "block").otherwise("allow")
+    own = F.when(F.col("distrust") > (F.col("trust") + F.col("distrust")) * (threshold + ROUNDING), "block").otherwise("allow")
     return known.select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", own).alias("verdict"), "trust", "distrust")
 
 

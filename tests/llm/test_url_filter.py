@@ -85,6 +85,40 @@ def test_trust_and_distrust_reach_hosts_without_rules(spark):
     assert got[2].trust > 0 and got[4].distrust > got[5].distrust > 0
 
 
+def small_crawl(i=""):
+    return [
+        (f"http://a{i}.com/x", f'<a href="http://good{i}.org/1">x</a><a href="http://both{i}.org/">y</a>'),
+        (f"http://good{i}.org/", ""),
+        (f"http://bad{i}.net/fr/", ""),
+        (f"http://spam{i}.org/q", f'<a href="http://bad{i}.net/fr/1">y</a>'),
+        (f"http://spam2{i}.org/q", f"<a href='http://spam{i}.org/'>"),
+        (f"http://both{i}.org/", f"<a href='http://bad{i}.net/'><a href='http://good{i}.org/'>"),
+        (f"http://alone{i}.org/", None),
+    ]
+
+
+VERDICTS = ["allow", "allow", "block", "block", "block", "allow", "allow"]
+
+
+def verdicts(spark, rows):
+    pages = spark.createDataFrame([(n, *row) for n, row in enumerate(rows)], PAGE)
+    return {rows[r.page_id][0]: r.verdict for r in U.filter_urls(pages, U.RULES).collect()}
+
+
+def test_a_thousand_copies_of_a_graph_keep_its_verdicts(spark):
+    assert list(dict(sorted(verdicts(spark, small_crawl()).items())).values()) == [v for _, v in sorted(zip([u for u, _ in small_crawl()], VERDICTS))]
+    many = verdicts(spark, [row for i in range(1000) for row in small_crawl(f"-{i}")])
+    assert many == {row[0]: v for i in range(1000) for row, v in zip(small_crawl(f"-{i}"), VERDICTS)}
+
+
+def test_linkers_to_one_seed_beside_a_hot_seed_are_all_blocked(spark):
+    linkers = [(f"http://linker{i}.org/", "<a href='http://bad.net/fr/'>") for i in range(9000)]
+    hot = [(f"http://hot.net/fr/{i}", "") for i in range(9000)]
+    got = verdicts(spark, small_crawl() + linkers + hot)
+    assert {got[url] for url, _ in linkers} == {"block"} and got["http://spam.org/q"] == got["http://spam2.org/q"] == "block"
+    assert got["http://good.org/"] == got["http://alone.org/"] == "allow"
+
+
 def test_empty_tables_and_rules(spark):
     pages = spark.createDataFrame([(1, "http://a.net/es/", "")], PAGE)
     assert U.filter_urls(pages.limit(0), U.RULES).collect() == []
