@@ -11,8 +11,9 @@ pruned by size before any bigram is compared. Longer notices than a line are
 matched on runs of lines: every run of consecutive lines whose size is within
 some template's bounds is a candidate, found by its lines' running sizes.
 
-Lines without a bigram of any template are passed over without loss (their
-coefficient is 0 with all).
+A run starts and ends only at lines that bring it a bigram of a template: one of
+their own, one over the break to the neighbouring line, or one with a mark. The
+others are passed over without loss (a run is more like any template without them).
 
 Everything is decided where a row is read; the templates are a fixed short list
 (or the caller's, of a stated size). Nothing is shuffled, so a hot source stays
@@ -126,7 +127,7 @@ class Scanner:
         self.least = min((m * low for m in self.sizes if m), default=1)
         self.most = max((m / low for m in self.sizes), default=0)
         self.inner = {g for _, bag in self.bags for g in bag if g[0] and g[1]}
-        self.vocabulary = {w for g in self.inner for w in g}
+        self.every = {g for _, bag in self.bags for g in bag}
 
     def best(self, bag: Counter) -> tuple[float, int]:
         """(coefficient, -number of the template) of the most alike template."""
@@ -141,16 +142,25 @@ class Scanner:
         """(licence, first line, lines, coefficient) of the runs that match."""
         lines = text.split("\n")
         words = [words_of(line) for line in lines]
-        # a line that shares no bigram with a template only takes from a run
-        near = [any(g in self.inner for g in zip(w, w[1:])) for w in words]
+        # a line at an end of a run that brings it no bigram of a template, neither of its
+        # own nor over the break to the next line with words nor with a mark, only takes from it
+        full = [i for i, w in enumerate(words) if w]
+        opens, closes = [False] * len(lines), [False] * len(lines)
+        for i, after in zip(full, [*full[1:], None]):
+            own = any(g in self.inner for g in zip(words[i], words[i][1:]))
+            over = after is not None and (words[i][-1], words[after][0]) in self.inner
+            opens[i] |= own or over or ("", words[i][0]) in self.every
+            closes[i] |= own or (words[i][-1], "") in self.every
+            if over:
+                closes[after] = True
         runs = []
-        for i in (i for i, n in enumerate(near) if n):
+        for i in (i for i, n in enumerate(opens) if n):
             held: list[str] = []
             for j in range(i, len(lines)):
                 held += words[j]
                 if len(held) + 1 > self.most:
                     break
-                if near[j] and len(held) + 1 >= self.least - 1e-9:
+                if closes[j] and len(held) + 1 >= self.least - 1e-9:
                     value, template = self.best(bigrams(held))
                     if value >= self.threshold - 1e-12:
                         runs.append((-value, i - j, i, -template))

@@ -25,6 +25,29 @@ def test_size_bounds_and_near_lines_lose_no_line(spark):
             assert all(f[3] >= S.THRESHOLD for f in found)
 
 
+def line_runs(lines):
+    """The largest coefficient of all runs of lines, by the definition."""
+    bags = [S.bigrams(S.words_of(t)) for _, t in S.TEMPLATES]
+    runs = [S.bigrams([w for line in lines[i : j + 1] for w in S.words_of(line)]) for i in range(len(lines)) for j in range(i, len(lines))]
+    return max(S.dice(run, bag) for run in runs for bag in bags)
+
+
+def test_every_wrapping_of_the_short_templates_is_found():
+    scanner = S.Scanner(S.TEMPLATES, S.THRESHOLD)
+    rng = random.Random(5)
+    for _, text in S.TEMPLATES:
+        words = text.split()
+        if len(words) > 14:
+            continue
+        breaks = [{n} for n in range(1, len(words))] + [set(rng.sample(range(1, len(words)), 2)) for _ in range(3) if len(words) > 2]
+        for cut in breaks:
+            body = "".join(("\n" if n in cut else " ") + w for n, w in enumerate(words)).strip(" ")
+            lines = ["", "some words before", "", *body.split("\n"), "other words after"]
+            best = line_runs(lines)
+            found = list(scanner.scan("\n".join(lines)))
+            assert best == 1 and found and abs(found[0][3] - best) < 1e-12 and found[0][1:3] == (3, len(cut) + 1), body
+
+
 def test_documents(spark):
     mit = next(t for n, t in S.TEMPLATES if len(t) > 400)
     wrapped = "\n".join(mit[i : i + 70] for i in range(0, len(mit), 70))
