@@ -1,33 +1,37 @@
 """Licence scan: Dice coefficient over word bigrams against licence templates.
 
-A text is judged line by line. Lines are normalised (lower case, "licence" and
+A text is judged by its words. Lines are normalised (lower case, "licence" and
 "licences" spelt with s, copyright lines and other characters than letters and
-digits dropped, version numbers kept as words). The Dice coefficient of a line
-and a template is twice the number of word bigrams they share (with repeats)
-over the number of bigrams of both, where a start and an end mark belong to the
-words. A template can reach ``threshold`` only if the line's number of bigrams n
-and its own m satisfy 2 * min(n, m) >= threshold * (n + m); the others are
-pruned by size before any bigram is compared. Longer notices than a line are
-matched on runs of lines: every run of consecutive lines whose size is within
-some template's bounds is a candidate, found by its lines' running sizes.
-
-A run starts and ends only at lines that bring it a bigram of a template: one of
-their own, one over the break to the neighbouring line, or one with a mark. The
-others are passed over without loss (a run is more like any template without them).
+digits dropped, version numbers kept as words) and their words joined to one
+sequence. Every run of consecutive words is a candidate, wherever in a line it
+starts or ends and over any number of lines. The Dice coefficient of a run and a
+template is twice the number of word bigrams they share (with repeats) over the
+number of bigrams of both, where a start and an end mark belong to the words. A
+template can reach ``threshold`` only if the run's number of bigrams n and its own
+m satisfy 2 * min(n, m) >= threshold * (n + m); other sizes are never compared.
+
+Two more cuts lose nothing. A run is more like a template without a first or last
+word that brings it none of the template's bigrams, so runs start and end only at
+words that do, and a run that is cut so is never reported (the shorter one goes
+before it, or what excludes the shorter one excludes it). And a run needs so many of
+the template's bigrams that only stretches of the text where they lie that densely
+are looked at.
 
 Everything is decided where a row is read; the templates are a fixed short list
 (or the caller's, of a stated size). Nothing is shuffled, so a hot source stays
 spread as the input is.
 
-Defined results: null and empty texts hold no licence; of runs that overlap, the
-one with the larger coefficient is reported (then the longer, then the first);
-of templates equally like, the first in the list; repeated rows each give their
+Defined results: null and empty texts hold no licence; of runs that share a word,
+the one with the larger coefficient is reported (then the longer, then the first),
+so a line can hold several notices; of templates equally like, the first in the list; repeated rows each give their
 rows; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -122,54 +126,97 @@ class Scanner:
     def __post_init__(self):
         self.bags = [(name, bigrams(words_of(text))) for name, text in self.templates]
         self.sizes = [sum(bag.values()) for _, bag in self.bags]
-        # sizes of a run within the bounds of some template
+        # bounds of a run's bigrams, and the least it must share, by template
         low = self.threshold / (2 - self.threshold)
-        self.least = min((m * low for m in self.sizes if m), default=1)
-        self.most = max((m / low for m in self.sizes), default=0)
-        self.inner = {g for _, bag in self.bags for g in bag if g[0] and g[1]}
-        self.every = {g for _, bag in self.bags for g in bag}
-
-    def best(self, bag: Counter) -> tuple[float, int]:
-        """(coefficient, -number of the template) of the most alike template."""
-        n = sum(bag.values())
-        found = (0.0, 0)
-        for i, ((_, own), m) in enumerate(zip(self.bags, self.sizes)):
-            if m and 2 * min(n, m) >= self.threshold * (n + m) - 1e-9:  # size bound
-                found = max(found, (dice(bag, own), -i))
-        return found
+        self.least = [max(2, math.ceil(m * low - 1e-9)) for m in self.sizes]
+        self.most = [math.floor(m / low + 1e-9) if m else 0 for m in self.sizes]
+        self.holders: dict[tuple[str, str], list[int]] = {}
+        for t, (_, bag) in enumerate(self.bags):
+            for g in bag:
+                if g[0] and g[1]:
+                    self.holders.setdefault(g, []).append(t)
+        # templates of one word have no bigram between marks
+        self.single: dict[str, list[int]] = {}
+        for t, (_, bag) in enumerate(self.bags):
+            if self.least[t] <= 2 and self.sizes[t]:
+                for w in {w for g in bag for w in g if w}:
+                    self.single.setdefault(w, []).append(t)
+
+    def stretches(self, words: list[str]) -> Iterator[tuple[int, int, int]]:
+        """(template, first word, last word) of the stretches that hold all its runs."""
+        places: dict[int, list[int]] = {}
+        holders = self.holders
+        for at, g in enumerate(zip(words, words[1:])):
+            if g in holders:
+                for t in holders[g]:
+                    places.setdefault(t, []).append(at)
+        for t, held in places.items():
+            # besides the marks a run of at most ``most`` bigrams needs ``need`` between its words
+            need, reach = self.least[t] - 2, self.most[t] - 2
+            if need < 1:
+                continue
+            first = last = None
+            for a, b in zip(held, held[need - 1 :]):
+                if b - a >= reach:
+                    continue
+                # a run over these reaches from the words before b back to those after a
+                lo, hi = max(0, b + 1 - reach), min(len(words) - 1, a + reach)
+                if first is None or lo > last + 1:
+                    if first is not None:
+                        yield t, first, last
+                    first, last = lo, hi
+                else:
+                    last = max(last, hi)
+            if first is not None:
+                yield t, first, last
+        if self.single:
+            for at, w in enumerate(words):
+                for t in self.single.get(w, ()):
+                    yield t, max(0, at - self.most[t]), min(len(words) - 1, at + self.most[t])
+
+    def runs(self, words: list[str], t: int, lo: int, hi: int) -> Iterator[tuple[float, int, int]]:
+        """(coefficient, first word, last word) of the runs within a stretch that match."""
+        bag, m = self.bags[t][1], self.sizes[t]
+        own = [False] + [(words[i - 1], words[i]) in bag for i in range(lo + 1, hi + 1)] + [False]
+        closes = [(words[i], "") in bag for i in range(lo, hi + 1)]
+        for i in range(lo, hi + 1):
+            opens = ("", words[i]) in bag
+            if not (opens or own[i - lo + 1]):
+                continue
+            shared, left = int(opens), {}
+            for j in range(i, min(hi, i + self.most[t] - 2) + 1):
+                brings = closes[j - lo]
+                if j > i and own[j - lo]:
+                    g = (words[j - 1], words[j])
+                    rest = left.get(g, bag[g])
+                    left[g] = rest - 1
+                    brings = True
+                    shared += rest > 0
+                if brings:
+                    value = 2 * (shared + closes[j - lo]) / (j - i + 2 + m)
+                    if value >= self.threshold - 1e-12:
+                        yield value, i, j
 
     def scan(self, text: str) -> Iterator[tuple[str, int, int, float]]:
         """(licence, first line, lines, coefficient) of the runs that match."""
-        lines = text.split("\n")
-        words = [words_of(line) for line in lines]
-        # a line at an end of a run that brings it no bigram of a template, neither of its
-        # own nor over the break to the next line with words nor with a mark, only takes from it
-        full = [i for i, w in enumerate(words) if w]
-        opens, closes = [False] * len(lines), [False] * len(lines)
-        for i, after in zip(full, [*full[1:], None]):
-            own = any(g in self.inner for g in zip(words[i], words[i][1:]))
-            over = after is not None and (words[i][-1], words[after][0]) in self.inner
-            opens[i] |= own or over or ("", words[i][0]) in self.every
-            closes[i] |= own or (words[i][-1], "") in self.every
-            if over:
-                closes[after] = True
-        runs = []
-        for i in (i for i, n in enumerate(opens) if n):
-            held: list[str] = []
-            for j in range(i, len(lines)):
-                held += words[j]
-                if len(held) + 1 > self.most:
-                    break
-                if closes[j] and len(held) + 1 >= self.least - 1e-9:
-                    value, template = self.best(bigrams(held))
-                    if value >= self.threshold - 1e-12:
-                        runs.append((-value, i - j, i, -template))
+        words: list[str] = []
+        starts: list[int] = []  # number of words before each line
+        for line in text.split("\n"):
+            starts.append(len(words))
+            words += words_of(line)
+        found: dict[tuple[int, int], tuple[float, int]] = {}
+        for t, lo, hi in self.stretches(words):
+            for value, i, j in self.runs(words, t, lo, hi):
+                found[i, j] = max(found.get((i, j), (0.0, 0)), (value, -t))
         taken: list[tuple[int, int]] = []
-        for value, span, first, template in sorted(runs):
+        ordered = sorted((-value, i - j, i, -template) for (i, j), (value, template) in found.items())
+        for value, span, first, template in ordered:
             last = first - span
-            if all(last < a or first > b for a, b in taken):
-                taken.append((first, last))
-                yield self.bags[template][0], first, last - first + 1, -value
+            place = bisect_left(taken, (first, last))
+            if (place == 0 or taken[place - 1][1] < first) and (place == len(taken) or taken[place][0] > last):
+                taken.insert(place, (first, last))
+                top, end = bisect_right(starts, first) - 1, bisect_right(starts, last) - 1
+                yield self.bags[template][0], top, end - top + 1, -value
 
 
 def licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:

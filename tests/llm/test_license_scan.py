@@ -48,6 +48,53 @@ def test_every_wrapping_of_the_short_templates_is_found():
             assert best == 1 and found and abs(found[0][3] - best) < 1e-12 and found[0][1:3] == (3, len(cut) + 1), body
 
 
+def word_runs(words, templates):
+    """What is found in a sequence of words, by the definition: [(licence, first, last, coefficient)]."""
+    bags = [(n, S.bigrams(S.words_of(t))) for n, t in templates]
+    runs = []
+    for i in range(len(words)):
+        for j in range(i, len(words)):
+            bag = S.bigrams(words[i : j + 1])
+            value, t = max((S.dice(bag, b), -t) for t, (_, b) in enumerate(bags))
+            if value >= S.THRESHOLD - 1e-12:
+                runs.append((-value, i - j, i, -t))
+    out = []
+    for value, span, i, t in sorted(runs):
+        if all(i - span < a or i > b for _, a, b, _ in out):
+            out.append((bags[t][0], i, i - span, -value))
+    return out
+
+
+def test_notices_within_lines_by_brute_force():
+    short = [t for t in S.TEMPLATES if len(t[1].split()) <= 14]
+    rng = random.Random(6)
+    for templates in (short, short[:5] + [("X", "Zlib"), ("Y", "as is"), ("Z", "to be or not to be or not to be")]):
+        scanner = S.Scanner(templates, S.THRESHOLD)
+        for _ in range(60):
+            words = []
+            for _ in range(rng.randrange(1, 4)):
+                notice = rng.choice(templates)[1].split()
+                for _ in range(rng.randrange(3)):
+                    at = rng.randrange(len(notice))
+                    notice[at : at + rng.randrange(2)] = [rng.choice(["new", "the", "License", "under"])]
+                words += rng.choices(["our", "tool", "the", "license", "under", "is", "to", "be"], k=rng.randrange(4)) + notice
+            # a word a line: the lines are the words
+            words = [w for w in words if S.words_of(w)]
+            text = "\n".join(words)
+            want = word_runs(S.words_of(" ".join(words)), templates)
+            if all(len(S.words_of(w)) == 1 for w in words):
+                assert [(n, i, i + k - 1, v) for n, i, k, v in scanner.scan(text)] == want
+            assert [(n, v) for n, _, _, v in scanner.scan(" ".join(words))] == [(n, v) for n, _, _, v in want]
+
+
+def test_notices_that_share_their_line_with_other_text():
+    scanner = S.Scanner(S.TEMPLATES, S.THRESHOLD)
+    assert list(scanner.scan("Our tool is great. Released under the MIT License. Download it here today.")) == [("MIT", 0, 1, 1.0)]
+    mit = next(t for n, t in S.TEMPLATES if len(t) > 400)
+    page = f"x\n<p>Text. {mit} More.</p> Data: Licensed under CC BY 4.0. End"
+    assert [f[:3] for f in scanner.scan(page)] == [("MIT", 1, 1), ("CC-BY-4.0", 1, 1)]
+
+
 def test_documents(spark):
     mit = next(t for n, t in S.TEMPLATES if len(t) > 400)
     wrapped = "\n".join(mit[i : i + 70] for i in range(0, len(mit), 70))
