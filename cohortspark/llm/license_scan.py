@@ -97,6 +97,94 @@ TEMPLATES = [
     ),
 ]
 
+# The GNU family: (identifier, name, version). Texts of the family differ by a word or
+# two, so each needs its own or is taken for its neighbour.
+_GNU = [
+    *(("GPL-" + v + ".0", "General Public License", v) for v in "123"),
+    ("LGPL-2.0", "Library General Public License", "2"),
+    ("LGPL-2.1", "Lesser General Public License", "2.1"),
+    ("LGPL-3.0", "Lesser General Public License", "3"),
+    ("AGPL-3.0", "Affero General Public License", "3"),
+]
+_GNU_HEADERS = [
+    "the GNU {name} as published by the Free Software Foundation; either version {v} of the License, or (at your option) any later version.",
+    "the GNU {name} as published by the Free Software Foundation; version {v} of the License.",
+    "the GNU {name}, version {v}, as published by the Free Software Foundation.",
+    "version {v} of the GNU {name} as published by the Free Software Foundation.",
+]
+_CC = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial", "BY-ND": "Attribution-NoDerivatives"}
+_CC |= {"BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
+_CC_VERSIONS = {"1.0": "Generic", "2.0": "Generic", "2.5": "Generic", "3.0": "Unported", "4.0": "International"}
+_SHORT = [
+    ("MIT", "the MIT License"),
+    ("ISC", "the ISC License"),
+    ("Apache-2.0", "the Apache License, Version 2.0"),
+    ("Apache-1.1", "the Apache License, Version 1.1"),
+    *((f"BSD-{n}-Clause", f"the BSD {n}-Clause License") for n in "234"),
+    ("MPL-1.1", "the Mozilla Public License, version 1.1"),
+    ("MPL-2.0", "the Mozilla Public License, version 2.0"),
+    *((i, f"the GNU {name}, {w} {v}") for i, name, v in _GNU for w in ("version", "v")),
+    *((i, f"the GNU {name}, version {v} or later") for i, name, v in _GNU),
+    *((f"CC-{k}-{v}", f"CC {k} {v}") for k in _CC for v in _CC_VERSIONS),
+    *((f"CC-{k}-{v}", f"the Creative Commons {name} {v} {kind} License") for k, name in _CC.items() for v, kind in _CC_VERSIONS.items()),
+]
+_SPDX = ["MIT", "MIT-0", "ISC", "0BSD", "Apache-1.1", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSD-4-Clause", "MPL-1.1", "MPL-2.0"]
+_SPDX += ["Unlicense", "CC0-1.0", "Zlib", "BSL-1.0", "EPL-1.0", "EPL-2.0", *(f"CC-{k}-{v}" for k in _CC for v in _CC_VERSIONS)]
+
+# Bodies
+_GRANT = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files "
+    '(the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, '
+    "publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so"
+)
+_MIT_DISCLAIMER = (
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF '
+    "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR "
+    "ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH "
+    "THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions "
+    "are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+    "documentation and/or other materials provided with the distribution. "
+)
+_BSD_ADVERTISING = (
+    "All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes "
+    "software developed by the University of California, Berkeley and its contributors. "
+)
+_BSD_NAMES = (
+    "Neither the name of the {holder} nor the names of its contributors may be used to endorse or promote products derived from this software "
+    "without specific prior written permission. "
+)
+_BSD_DISCLAIMER = (
+    'THIS SOFTWARE IS PROVIDED BY THE {holders} AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, '
+    "THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE {holder} OR "
+    "CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, "
+    "PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF "
+    "LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS "
+    "SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_HOLDER = {"holders": "COPYRIGHT HOLDERS", "holder": "COPYRIGHT HOLDER"}
+_REGENTS = {"holders": "REGENTS", "holder": "REGENTS"}
+
+TEMPLATES += [
+    *((i, f"{form} {text}.") for i, text in _SHORT for form in ("Licensed under", "Released under", "Distributed under", "This work is licensed under")),
+    *((i, f"SPDX-License-Identifier: {i}") for i in _SPDX),
+    *((i, f"SPDX-License-Identifier: {i}{end}") for i, _, _ in _GNU for end in ("", "-only", "-or-later")),
+    *(
+        (i, f"This {what} is free software; you can redistribute it and/or modify it under the terms of {form.format(name=name, v=v)}")
+        for i, name, v in _GNU
+        for form in _GNU_HEADERS
+        for what in ("program", "library")
+    ),
+    ("MIT", f"{_GRANT}, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. {_MIT_DISCLAIMER}"),
+    ("MIT-0", f"{_GRANT}. {_MIT_DISCLAIMER}"),
+    ("BSD-2-Clause", _BSD + _BSD_DISCLAIMER.format(**_HOLDER)),
+    ("BSD-3-Clause", _BSD + "3. " + _BSD_NAMES.format(holder="copyright holder") + _BSD_DISCLAIMER.format(**_HOLDER)),
+    ("BSD-4-Clause", _BSD + "3. " + _BSD_ADVERTISING + "4. " + _BSD_NAMES.format(holder="University") + _BSD_DISCLAIMER.format(**_REGENTS)),
+]
+
 _TOKEN = re.compile(r"[^\W_]+(?:\.\d+)*")
 _SPELT = {"licence": "license", "licences": "licenses", "licenced": "licensed"}
 _COPYRIGHT = re.compile(r"^\s*(?:copyright|\(c\)|©)\s", re.I)
