@@ -85,6 +85,22 @@ def test_trust_and_distrust_reach_hosts_without_rules(spark):
     assert got[2].trust > 0 and got[4].distrust > got[5].distrust > 0
 
 
+def test_propagation_goes_on_to_the_tolerance(spark):
+    """A chain of 40 hosts, and two that pass their rank to and fro."""
+    links = [(f"h{i}", f"h{i + 1}", 1.0) for i in range(40)] + [("a", "b", 1.0), ("b", "a", 1.0)]
+    seeds = spark.createDataFrame([("h0", 1.0), ("a", 3.0)], "host string, weight double")
+    got = {r.host: r.rank for r in U.propagate(spark.createDataFrame(links, "src string, dst string, n double"), seeds).collect()}
+    hosts = sorted({h for s, d, _ in links for h in (s, d)})
+    at = {h: i for i, h in enumerate(hosts)}
+    p, v = np.zeros((len(at), len(at))), np.zeros(len(at))
+    for s, d, _ in links:
+        p[at[s], at[d]] = 1
+    v[at["h0"]], v[at["a"]] = 0.25, 0.75
+    exact = np.linalg.solve(np.eye(len(at)) - U.DAMPING * p.T, v)
+    exact /= exact.sum()
+    assert got["h35"] > 0 and np.abs(np.array([got.get(h, 0.0) for h in hosts]) - exact).sum() < 2 * U.TOLERANCE * U.DAMPING / (1 - U.DAMPING)
+
+
 def small_crawl(i=""):
     return [
         (f"http://a{i}.com/x", f'<a href="http://good{i}.org/1">x</a><a href="http://both{i}.org/">y</a>'),
