@@ -6,7 +6,7 @@ import tempfile
 from cohortspark.plans.build import build
 from cohortspark.plans.registry import study
 from cohortspark.sources import csv as CSV
-from conftest import SF_SMALL
+from study_data import SF_SMALL
 
 
 def test_build_from_csv_extract(spark, tables):

@@ -180,7 +180,7 @@ def test_global_stats_of_no_rows(spark):
 
 def test_outcomes_by_disease_match_one_study_each(spark):
     from cohortspark.plans.registry import QUERIES, study
-    from conftest import SF_SMALL
+    from study_data import SF_SMALL
 
     many = QUERIES["summary_by_disease_and_concept"](spark, SF_SMALL).collect()
     strata = QUERIES["age_sex_by_disease_and_concept"](spark, SF_SMALL).collect()

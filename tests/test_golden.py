@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from cohortspark.plans.registry import study
-from conftest import SF_SMALL
+from study_data import SF_SMALL
 
 
 def test_golden_summary(spark):

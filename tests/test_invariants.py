@@ -3,7 +3,7 @@
 import pytest
 
 from cohortspark.plans.registry import QUERIES
-from conftest import SF_SMALL
+from study_data import SF_SMALL
 
 REPEATABLE = ["control_sample", "keyed_uniform", "measurement_seq",
               "measurement_summary", "clamped_values"]

@@ -4,7 +4,7 @@ import pytest
 
 import __spark_entry__ as entry
 from compare import compare, duck
-from conftest import SF_SMALL
+from study_data import SF_SMALL
 
 from cohortspark.plans.oracle import oracle_sql
 from cohortspark.plans.registry import QUERIES

@@ -11,7 +11,7 @@ from cohortspark.operators import cohorts as C
 from cohortspark.operators import outcomes as O
 from cohortspark.plans.registry import PERCENTILE, QUERIES, STORED, study
 from cohortspark.session import query_scratch
-from conftest import SF_SMALL
+from study_data import SF_SMALL
 
 
 def plan(df):

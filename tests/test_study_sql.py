@@ -2,7 +2,7 @@
 
 from cohortspark.plans.registry import study
 from cohortspark.sources.sinks import require_table
-from conftest import SF_SMALL
+from study_data import SF_SMALL
 
 
 def test_views_and_bound_parameters(spark):
