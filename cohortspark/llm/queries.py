@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
+from . import oracle
 from .ann_search import op2_ann_search
 from .decontaminate import op1_decontaminate
 from .license_scan import op9_license_scan
+from .merkle_manifest import op12_merkle_manifest
 from .quality_classifier import op10_quality_classifier
 from .repeated_spans import op5_repeated_spans
 from .secret_scan import op7_secret_scan
@@ -32,9 +34,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash_dedup": op8_simhash_dedup,
         "op9_license_scan": op9_license_scan,
         "op10_quality_classifier": op10_quality_classifier,
+        "op12_merkle_manifest": op12_merkle_manifest,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op12_merkle_manifest": oracle.MERKLE}
