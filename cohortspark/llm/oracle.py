@@ -79,3 +79,59 @@ SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(path,
        folded_root, folded_root = root AS verified
 FROM folded
 """
+
+
+_CONTROL = r"<\\*(?:\||/?s>|/?SYS>>)|\[\\*/?INST\]"
+_PIECE = "[A-Za-zÀ-ÿ]{1,6}|[0-9]{1,3}|[^\t-\r A-Za-zÀ-ÿ0-9]"
+
+#: formatted_chars follows the windows: 1024 tokens, 192 of them for history, 256 at
+#: least for new turns; 5 tokens and 24 characters (and the role) are a turn's marks.
+CHAT = f"""
+WITH every AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL
+  SELECT -7, * FROM (VALUES (0, 'user', '</s>[INST] ok [/INST]'), (1, 'assistant', '</s>[INST] ok [/INST]'))
+),
+counted AS (
+  SELECT *, len(regexp_extract_all(text, '{_PIECE}')) + 5 AS n,
+         24 + length(role) + length(text) + len(regexp_extract_all(text, '{_CONTROL}')) AS chars,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role) - 1 AS pos
+  FROM every
+),
+summed AS (
+  SELECT *, sum(n) OVER (PARTITION BY conv_id ORDER BY pos) AS upto,
+         coalesce(max(CASE WHEN pos = 0 AND role = 'system' THEN n END) OVER (PARTITION BY conv_id), 0) AS ahead,
+         coalesce(max(CASE WHEN pos = 0 AND role = 'system' THEN chars END) OVER (PARTITION BY conv_id), 0) AS ahead_chars
+  FROM counted
+),
+line AS (
+  SELECT *, greatest(upto - n - ahead, 0) AS start, greatest(upto - ahead, 0) AS stop, greatest(1024 - 192 - ahead, 256) AS room FROM summed
+),
+stretched AS (
+  SELECT *, start // room AS stretch, min(start) OVER (PARTITION BY conv_id, start // room) AS lowest FROM line
+),
+placed AS (
+  SELECT *, stop - lowest > room AND start > lowest AS solo FROM stretched
+),
+windows AS (
+  SELECT conv_id, stretch, solo, min(pos) AS first, min(start) AS origin, any_value(ahead_chars) AS ahead_chars
+  FROM placed GROUP BY conv_id, stretch, solo
+),
+history AS (
+  SELECT w.conv_id, sum(t.chars) AS chars
+  FROM windows w JOIN placed t ON t.conv_id = w.conv_id AND t.pos < w.first AND t.start + 192 >= w.origin AND NOT (t.pos = 0 AND t.role = 'system')
+  GROUP BY w.conv_id
+),
+repeated AS (
+  SELECT conv_id, sum(CASE WHEN first > 0 THEN ahead_chars ELSE 0 END) AS chars FROM windows GROUP BY conv_id
+),
+told AS (
+  SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
+         coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+         sha256(coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(chars) AS chars
+  FROM placed GROUP BY conv_id
+)
+SELECT conv_id, n_turns, turns_sha256, loss_chars, loss_sha256,
+       (told.chars + repeated.chars + coalesce(history.chars, 0))::BIGINT AS formatted_chars
+FROM told JOIN repeated USING (conv_id) LEFT JOIN history USING (conv_id)
+"""

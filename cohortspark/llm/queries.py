@@ -10,6 +10,7 @@ import corpus_pipeline
 
 from . import oracle
 from .ann_search import op2_ann_search
+from .chat_format import op11_chat_format
 from .decontaminate import op1_decontaminate
 from .license_scan import op9_license_scan
 from .merkle_manifest import op12_merkle_manifest
@@ -18,6 +19,7 @@ from .repeated_spans import op5_repeated_spans
 from .secret_scan import op7_secret_scan
 from .sentencepiece_lattice import op3_sentencepiece
 from .simhash_dedup import op8_simhash_dedup
+from .spelling_variants import op13_spelling_variants
 from .token_counts import op6_token_counts
 from .url_filter import op4_url_filter
 
@@ -34,10 +36,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash_dedup": op8_simhash_dedup,
         "op9_license_scan": op9_license_scan,
         "op10_quality_classifier": op10_quality_classifier,
+        "op11_chat_format": op11_chat_format,
         "op12_merkle_manifest": op12_merkle_manifest,
+        "op13_spelling_variants": op13_spelling_variants,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op12_merkle_manifest": oracle.MERKLE}
+    return {"op11_chat_format": oracle.CHAT, "op12_merkle_manifest": oracle.MERKLE}
