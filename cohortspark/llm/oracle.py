@@ -135,3 +135,44 @@ SELECT conv_id, n_turns, turns_sha256, loss_chars, loss_sha256,
        (told.chars + repeated.chars + coalesce(history.chars, 0))::BIGINT AS formatted_chars
 FROM told JOIN repeated USING (conv_id) LEFT JOIN history USING (conv_id)
 """
+
+# bytes of the UTF-8 form of letters up to U+00FF
+_LETTER_BYTES = "flatten(list_transform(string_split({0}, ''), lambda ch: CASE WHEN unicode(ch) < 128 THEN [unicode(ch)] ELSE [192 + unicode(ch) // 64, 128 + unicode(ch) % 64] END))"
+
+SPELLING = f"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run
+  FROM documents
+),
+counted AS (SELECT doc_id, run, count(*) AS n FROM runs GROUP BY doc_id, run),
+hashed AS (SELECT run, n, {crc32(_LETTER_BYTES.format("doc_id::VARCHAR || ':' || run"))} AS h FROM counted),
+slipped AS (
+  SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word, n
+  FROM hashed
+),
+words AS (SELECT word, sum(n)::BIGINT AS n FROM slipped WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+places AS (SELECT word, unnest(generate_series(1, length(word))) AS i FROM words),
+cuts AS (SELECT word, i, substr(word, 1, i - 1) AS a, substr(word, i + 1) AS b FROM places),
+near AS (
+  SELECT x.word, y.word AS near FROM cuts x JOIN cuts y ON x.i = y.i AND x.a = y.a AND x.b = y.b AND x.word <> y.word
+  UNION SELECT cuts.word, words.word FROM cuts JOIN words ON words.word = cuts.a || cuts.b
+  UNION SELECT words.word, cuts.word FROM cuts JOIN words ON words.word = cuts.a || cuts.b
+),
+ranked AS (
+  SELECT near.word, near.near, w.n AS near_n, count(*) OVER (PARTITION BY near.word) AS n_near,
+         row_number() OVER (PARTITION BY near.word ORDER BY w.n DESC, near.near) AS rank
+  FROM near JOIN words w ON w.word = near.near
+),
+formed AS (
+  SELECT words.word, words.n, coalesce(r.n_near, 0) AS n_near,
+         CASE WHEN r.near_n >= 2 * words.n THEN r.near END AS form, CASE WHEN r.near_n >= 2 * words.n THEN r.near_n END AS form_n
+  FROM words LEFT JOIN ranked r ON r.word = words.word AND r.rank = 1
+),
+up AS (
+  SELECT word, word AS at FROM formed
+  UNION ALL
+  SELECT up.word, formed.form FROM up JOIN formed ON formed.word = up.at WHERE formed.form IS NOT NULL
+)
+SELECT formed.word, formed.form, up.at AS root, formed.n, formed.n_near, formed.form_n
+FROM formed JOIN up ON up.word = formed.word JOIN formed last ON last.word = up.at AND last.form IS NULL
+"""

@@ -44,4 +44,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op11_chat_format": oracle.CHAT, "op12_merkle_manifest": oracle.MERKLE}
+    return {
+        "op11_chat_format": oracle.CHAT,
+        "op12_merkle_manifest": oracle.MERKLE,
+        "op13_spelling_variants": oracle.SPELLING,
+    }

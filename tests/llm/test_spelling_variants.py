@@ -1,0 +1,123 @@
+"""Near words, forms and roots against brute force; trees; crowded cells; ties and nulls."""
+
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+
+from cohortspark.llm import spelling_variants as S
+from helpers import awkward, frame
+
+LETTERS = [chr(i) for i in [*range(97, 123), *range(0xC0, 0x100)]]
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def vocabulary(rows):
+    out = Counter()
+    for doc_id, text, *_ in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = run.translate(LOWER)
+            if doc_id is not None and (h := zlib.crc32(f"{doc_id}:{run}".encode())) % 97 == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            out[run] += 1
+    return {w: n for w, n in out.items() if len(w) >= 5 and n >= 3}
+
+
+def edits(word):
+    for i in range(len(word) + 1):
+        yield word[:i] + word[i + 1 :]
+        for c in LETTERS:
+            yield word[:i] + c + word[i:]
+            yield word[:i] + c + word[i + 1 :]
+
+
+def want(vocab):
+    near = {w: {e for e in edits(w) if e in vocab and e != w and abs(len(e) - len(w)) <= 1} for w in vocab}
+    form = {}
+    for w in vocab:
+        if near[w]:
+            best = min(near[w], key=lambda v: (-vocab[v], v))
+            if vocab[best] >= 2 * vocab[w]:
+                form[w] = best
+    out = set()
+    for w in vocab:
+        root = w
+        while root in form:
+            root = form[root]
+        out.add((w, form.get(w), root, vocab[w], len(near[w]), vocab[form[w]] if w in form else None))
+    return out
+
+
+def crowded(seed=2):
+    """Documents whose words are variants of each other, anagrams among them."""
+    rng = random.Random(seed)
+    bases = ["abcdef", "aabbcc", "straße", "größer", "éÀÿÞb", "x" * 40, "letter", "lettre"]
+    words = set(bases)
+    for w in bases:
+        for _ in range(40):
+            w = rng.choice(list(edits(w)))
+            words.add(w)
+            words.add("".join(rng.sample(w, len(w))))
+    words = sorted(w for w in words if w)
+    rows = [(i, " ".join(rng.choices(words, k=60, weights=[1 + 50 // (1 + j % 37) for j in range(len(words))])).title(), "en", "s", 1) for i in range(300)]
+    return rows + [(rows[0])] * 3 + awkward()
+
+
+def same(spark, monkeypatch, rows):
+    monkeypatch.setattr(S, "read", lambda spark, sf, table: frame(spark, rows, extra=True))
+    got = [tuple(r) for r in S.op13_spelling_variants(spark, "").collect()]
+    expected = want(vocabulary(rows))
+    assert len(got) == len(expected) and set(got) == expected
+    return expected
+
+
+def test_against_brute_force(spark, monkeypatch):
+    found = same(spark, monkeypatch, crowded())
+    assert any(f for _, f, *_ in found) and any(r not in (w, f) for w, f, r, *_ in found)
+
+
+def test_small_cells_blocks_and_samples(spark, monkeypatch):
+    """Many cells, cells in many blocks, lengths that no tree knows."""
+    monkeypatch.setattr(S, "CELL", 20)
+    monkeypatch.setattr(S, "LETTERS", 150)
+    monkeypatch.setattr(S, "LEAF", 3)
+    monkeypatch.setattr(S, "SAMPLE", 300)
+    monkeypatch.setattr(S, "STEP", 10)
+    same(spark, monkeypatch, crowded(5))
+
+
+def test_tree_search_loses_nothing():
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 4, (400, 90)) * (rng.random((400, 90)) < 0.1)
+    tree = S.Tree(x, 7)
+    leaf = tree.place(x)
+    assert all((leaf[rows] == i).all() for i, rows in enumerate(tree.rows))
+    for up, down in ((1, 1), (1, 0), (0, 0)):
+        reached = {(int(i), leaf) for leaf, rows in tree.search(x, up, down) for i in rows}
+        assert len(reached) < 400 * len(tree.rows) / 4
+        for i in range(400):
+            d = x - x[i]
+            near = np.flatnonzero((np.maximum(d, 0).sum(1) <= up) & (np.maximum(-d, 0).sum(1) <= down))
+            assert {(i, int(leaf[j])) for j in near} <= reached
+
+
+def test_ties_and_thresholds(spark):
+    rows = [("words", 10), ("wards", 10), ("wirds", 5), ("wirdz", 6), ("swords", 20), ("zzzzz", 9), ("wordsé", 20)]
+    got = {r.word: r for r in S.variants(spark.createDataFrame(rows, "word string, n long")).collect()}
+    assert got["wirds"].form == "wards" and got["wirds"].form_n == 10 and got["wirds"].n_near == 3  # of two 10s the smaller
+    assert got["words"].form == "swords" and got["words"].root == "swords"  # of two 20s the smaller
+    assert got["wirdz"].form is None and got["wirdz"].n_near == 1 and got["zzzzz"].root == "zzzzz"
+
+
+def test_long_chains_of_forms(spark):
+    rows = [("a" * 5 + "b" * i, 3 * 2**i) for i in range(20)]
+    got = S.variants(spark.createDataFrame(rows, "word string, n long")).collect()
+    assert {r.root for r in got} == {"aaaaa" + "b" * 19}
+
+
+def test_empty_table(spark, monkeypatch):
+    monkeypatch.setattr(S, "read", lambda spark, sf, table: frame(spark, awkward()).limit(0))
+    got = S.op13_spelling_variants(spark, "")
+    assert got.count() == 0 and got.columns == ["word", "form", "root", "n", "n_near", "form_n"]
