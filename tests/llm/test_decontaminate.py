@@ -53,13 +53,24 @@ def test_matches_brute_force(spark):
 
 def test_blocks_find_all_fingerprints_within_the_radius():
     rng = np.random.default_rng(5)
-    items = D.Items([(i, f"a{i} b{i} c{i} d{i} e{i} f{i}") for i in range(300)], 5, 0.8, 17, 8)
-    for _ in range(200):
-        v = items.prints[rng.integers(300)]
+    items = D.Items([(i, f"a{i % 280} b{i} c{i} d{i} e{i} f{i}"[: 12 if i > 290 else 99]) for i in range(300)], 5, 0.8, 17, 8)
+    v = items.prints[rng.integers(300, size=200)]
+    for i in range(200):
         for _ in range(rng.integers(0, 20)):
-            v ^= np.uint64(1) << np.uint64(rng.integers(64))
-        distance = np.bitwise_count(items.prints ^ v)
-        assert items.within(v) == {int(i): int(distance[i]) for i in np.flatnonzero(distance <= 17)}
+            v[i] ^= np.uint64(1) << np.uint64(rng.integers(64))
+    distance = np.bitwise_count(items.prints[None, :] ^ v[:, None])
+    got = list(zip(*(x.tolist() for x in items.within_all(v))))
+    assert got == [tuple(x) for x in np.argwhere(distance <= 17).tolist()]
+
+
+def test_window_prints_are_those_of_the_shingles(monkeypatch):
+    monkeypatch.setattr(D, "RUN", 16)
+    rng = random.Random(2)
+    text = words(rng, 120, 30).split()
+    starts = np.array(sorted(rng.sample(range(100), 40)))
+    for size, other in ((5, 12), (2, 1), (1, 20)):
+        got = D.window_prints(text, starts, size, other)
+        assert got.tolist() == [int(D.fingerprint([" ".join(text[i : i + size]) for i in range(s, s + other)])) for s in starts.tolist()]
 
 
 def test_every_planted_item_is_caught(spark):
