@@ -22,8 +22,9 @@ Defined results: vectors that are null, empty, zero or hold a null or non-finite
 component, and rows without vec_id, take no part; vectors are compared with
 vectors of their own length; a vec_id is at most once in a result and never in
 its own, and rows that share one vec_id act as one (the best score counts);
-queries that meet fewer than ``k`` vectors return those; an empty table gives an
-empty result; other columns are ignored.
+a query that meets fewer than ``k`` vectors probes all axes of one table, where
+every vector is posted once, so that it gets its k nearest, or all candidates if
+there are fewer; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -162,12 +163,8 @@ def _rank_block(k: int):
     return rank
 
 
-def neighbours(vectors: DataFrame, is_query: Column, k: int = 5, tables: int = TABLES, probes: int = PROBES) -> DataFrame:
-    """``vectors`` (id long, vector array<double>) -> (query_id, rank, vec_id, score):
-    the k nearest found for every row that ``is_query`` holds of, nearest first."""
-    fit = vectors.where(F.col("id").isNotNull() & usable(F.col("vector")))
-    index = materialize(posts(fit, tables, 1), "ann-index")
-    asked = materialize(posts(fit.where(is_query), tables, probes), "ann-probes")
+def _nearest(index: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """The k best (query_id, rank, vec_id, score) that the probes meet in the index."""
     # one row per bucket: a bounded number of axes, tables and vector lengths
     sizes = index.groupBy("bucket").agg(F.count("*").alias("n")).join(asked.groupBy("bucket").agg(F.count("*").alias("m")), "bucket")
     cuts = materialize(sizes.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("b"), F.ceil(F.col("m") / QUERY_BLOCK).cast("int").alias("c")), "ann-cuts")
@@ -182,6 +179,22 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = 5, tables: int = T
     return once.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def neighbours(vectors: DataFrame, is_query: Column, k: int = 5, tables: int = TABLES, probes: int = PROBES) -> DataFrame:
+    """``vectors`` (id long, vector array<double>) -> (query_id, rank, vec_id, score):
+    the k nearest found for every row that ``is_query`` holds of, nearest first."""
+    fit = vectors.where(F.col("id").isNotNull() & usable(F.col("vector")))
+    index = materialize(posts(fit, tables, 1), "ann-index")
+    queries = fit.where(is_query)
+    found = materialize(_nearest(index, materialize(posts(queries, tables, probes), "ann-probes"), k), "ann-nearest")
+    # queries that met fewer than k: all axes of one table, where every vector is posted once
+    full = found.where(F.col("rank") == k).select(F.col("query_id").alias("id"))
+    short = materialize(posts(queries.join(full, "id", "left_anti"), 1, 1 << 30), "ann-short")
+    if short.isEmpty():
+        return found
+    answered = full.withColumnRenamed("id", "query_id")
+    return found.join(answered, "query_id", "left_semi").select(*found.columns).unionByName(_nearest(index, short, k))
+
+
 def op2_ann_search(spark, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
     return neighbours(rows, F.col("id") % 50 == 0, 5)

@@ -75,6 +75,18 @@ def test_awkward_vectors_ties_and_hot_buckets(spark, monkeypatch):
     assert [i for i, _ in got[400]] == [401] and 450 not in got
 
 
+def test_queries_that_meet_too_few_get_all_candidates(spark):
+    """Few probes and few vectors, opposite ones among them: nothing is left out."""
+    rng = random.Random(4)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(64)]) for i in (0, 1, 2, 3)] + [(50, [1.0] * 16), (51, [-1.0] * 16)]
+    rows += [(i, [rng.gauss(0, 1) for _ in range(32)]) for i in range(100, 140)]
+    got = search(spark, rows, tables=2, probes=3)
+    want = brute(rows, 5)
+    assert set(got) == {q for q, v in want.items() if v}
+    assert {i for i, _ in got[0]} == {1, 2, 3} and [i for i, _ in got[50]] == [51] and got[50][0][1] == -1
+    assert all(len(v) == len(want[q]) for q, v in got.items())
+
+
 def test_few_or_no_vectors(spark):
     assert search(spark, [(0, [1.0, 2.0])]) == {}
     assert search(spark, [(0, [1.0, 2.0]), (3, [1.0, 2.0])]) == {0: [(3, 1.0)]} or search(spark, [(0, [1.0, 2.0]), (3, [1.0, 2.0])])[0][0][0] == 3
