@@ -7,8 +7,8 @@ at most 2 apart in L1; of words of one length exactly one up and one down (or
 none), of words that differ by a letter in length one up and none down.
 
 1. A k-d tree per word length, over letter counts, cuts the words into cells of
-   about ``CELL``. It is fitted on at most ``SAMPLE`` words (those of the smallest
-   hash), which decides how even the cells are and nothing else: every word is
+   about ``CELL``. It is fitted on about ``SAMPLE`` words (those of the smallest
+   hashes), which decides how even the cells are and nothing else: every word is
    posted to its cell.
 2. A word searches the trees of its own length and of the next one. A child whose
    box needs more letters added or taken than one edit can is pruned; the word is
@@ -144,9 +144,12 @@ def _by_length(texts: list[str]) -> dict[int, np.ndarray]:
 
 
 def fit(vocabulary: DataFrame) -> dict[int, Tree]:
-    """A tree per word length, on at most SAMPLE words."""
+    """A tree per word length, on about SAMPLE words: those whose hash falls below a
+    share of its range (words are distinct, so their number is SAMPLE give or take
+    its square root)."""
     total = vocabulary.count()
-    sample = [r.word for r in vocabulary.select("word").orderBy(F.xxhash64("word"), "word").limit(SAMPLE).collect()]
+    share = F.pmod(F.xxhash64("word"), F.lit(1 << 40)) < int(SAMPLE / max(total, 1) * (1 << 40))
+    sample = sorted(r.word for r in vocabulary.where(share).select("word").collect())
     size = max(16, CELL * len(sample) // max(total, 1))
     trees = {}
     for length, rows in _by_length(sample).items():
@@ -159,7 +162,7 @@ def fit(vocabulary: DataFrame) -> dict[int, Tree]:
 def posts(vocabulary: DataFrame, trees: dict[int, Tree]) -> DataFrame:
     """(length, cell, probe, home, word, n): each word once as a member, and as a probe
     of every cell that can hold a near word; ``home`` marks probes of the own cell."""
-    shared = vocabulary.sparkSession.sparkContext.broadcast(trees)  # at most SAMPLE / 8 nodes
+    shared = vocabulary.sparkSession.sparkContext.broadcast(trees)  # about SAMPLE / 8 nodes at most
 
     def emit(parts):
         for part in parts:
