@@ -1,24 +1,28 @@
-"""Token counts by a compiled finite-state transducer and a prefix scan of chunks.
-
-A word-level BPE tokenizer is compiled into a deterministic transducer over
-characters. White space always leads back to the start state, so the states
-between two white spaces are the strings read since (a trie, compiled on demand
-and kept while a task runs); a transition inside emits 0 tokens, and the
-transition on white space, or the end, emits the number of tokens of the string:
-special strings count one each, the rest is normalised (NFC, lower case), cut
-by the tokenizer's pattern and merged by its ranks.
+"""Token counts by a transducer that is reset at boundaries, and a prefix scan of chunks.
+
+A word-level BPE tokenizer starts afresh at every boundary: white space, and inside
+strings without any the places where one token must end and the next begin
+whatever stands further away (next to a digit; between letters and marks, but for
+the apostrophe, which may begin a contraction; never where a special string could
+be under way). Between two boundaries the state is the string read since the last
+one, and passing a boundary emits that string's tokens: special strings count one
+each, the rest is normalised (NFC, lower case), cut by the tokenizer's pattern and
+merged by its ranks. Strings are compiled when they are first met and kept while a
+task runs.
 
 Texts are cut into chunks of ``CHUNK`` characters anywhere. A chunk maps the
 state in which it is entered to the state in which it is left and the tokens
 emitted on the way. Because of the resets such a map is three values: the text
-before the first white space, the tokens emitted between the first and the last,
-and the text after the last; a chunk without white space is one text. Maps
+before its first boundary, the tokens emitted between the first and the last, and
+the text after the last; a chunk without a boundary is one text. Maps
 compose (the text after one and the text before the next meet, and are counted
 together), composition is associative, and a document's chunks are composed in a
 balanced scan. So a very long text is spread over tasks, and its count is that
 of the whole text, not of its chunks.
 
-Only chunk maps are shuffled, not texts.
+Only chunk maps are shuffled, not texts; their ends are short unless a text has
+thousands of letters or marks without a boundary (a million times one letter: such
+runs are shuffled and counted whole).
 
 Defined results: null text counts as empty, with 0 tokens; repeated rows and
 null doc_ids are counted each; an empty table gives an empty result; other
@@ -49,6 +53,17 @@ KEPT = 1_000_000
 _SPACES = "\t-\r \x85\xa0  -     　"
 _SPACE = re.compile(f"[{_SPACES}]")
 _SPLIT = re.compile(f"[{_SPACES}]+")
+#: Ends of chunks longer than this are cut at a boundary inside them.
+ENDS = 64
+#: Boundaries between two tokens that both sides see without more context: next to a
+#: digit; a letter before a mark; a mark other than the apostrophe (which may begin a
+#: contraction) before a letter. Only characters that normalisation leaves apart
+#: from the one before, and no "<" as near as a special string is long.
+_LETTER = "A-Za-z\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fef\uac00-\ud7a3"
+_MARK = "!-&(-/:-@\\[-`{-~\u3001-\u3003\u3008-\u3011\uff01-\uff0f\uff1a-\uff20"
+_BOUNDARY = regex.compile(
+    rf"(?<=[0-9])(?=[0-9'{_LETTER}{_MARK}])|(?<=['{_LETTER}{_MARK}])(?=[0-9])|(?<=[{_LETTER}])(?=['{_MARK}])|(?<=[{_MARK}])(?=[{_LETTER}])"
+)
 #: White space for str.split only.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 
@@ -88,6 +103,9 @@ class Transducer(dict):
             self.ranks.setdefault((vocabulary[a], vocabulary[b]), (rank, vocabulary[a + b]))
         special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
+        if any(not t.startswith("<") for t in special):
+            raise ValueError("special strings that begin otherwise than with <")
+        self.reach = max(map(len, special), default=1) - 1
         self.words: dict[str, int] = {}
 
     def __missing__(self, text: str) -> int:
@@ -164,16 +182,31 @@ class Transducer(dict):
 
     # -- maps of chunks: (closed, head, tokens, tail); not closed: all in head
 
+    def cut(self, text: str, start: int, stop: int, last: bool = False) -> int | None:
+        """The first (or last) boundary of text at start or later, up to stop."""
+        found = None
+        for m in _BOUNDARY.finditer(text, start, stop + 1):
+            at = m.start()
+            if at >= self.reach and "<" not in text[at - self.reach : at]:
+                found = at
+                if not last:
+                    break
+        return found
+
     def chunk_map(self, text: str) -> tuple[bool, str, int, str]:
-        first = _SPACE.search(text)
-        if first is None:
+        space = _SPACE.search(text)
+        first = space.start() if space else len(text)
+        if first > ENDS and (at := self.cut(text, ENDS, first)) is not None:
+            first = at
+        elif space is None:
             return False, text, 0, ""
-        head = text[: first.start()]
+        head, text = text[:first], text[first:]
         units = _SPLIT.split(text) if _SEPARATORS.search(text) else text.split()
-        # split drops or keeps empty ends; the text's own ends are head and tail
-        if head and units and units[0] == head:
-            units = units[1:]
-        tail = "" if _SPACE.match(text[-1]) else units.pop()
+        # split drops or keeps empty ends; the end of the text is the tail
+        tail = "" if not text or _SPACE.match(text[-1]) else units.pop()
+        if len(tail) > ENDS and (at := self.cut(tail, 0, len(tail) - ENDS // 2, True)) is not None:
+            units.append(tail[:at])
+            tail = tail[at:]
         return True, head, sum(map(self.__getitem__, filter(None, units))), tail
 
     def compose(self, a: tuple[bool, str, int, str], b: tuple[bool, str, int, str]) -> tuple[bool, str, int, str]:

@@ -27,6 +27,35 @@ def test_random_texts_in_chunks_of_any_size():
         assert run.total(maps) == len(library.encode(text, add_special_tokens=False).ids), repr(text)
 
 
+TIGHT = ["abc", "Word", "12", "7", "'s", "'", "''ll", "<|startoftext|>", "<|endoftext|>", "<|", "<", "|>", "-", "=+/", "漢字", "、", "。", "かな", "が", "か\u3099", "ハ\u309a", "각", "\u1100\u1161\u11a8", "가\u11a8",
+         "é", "e\u0301", "\u0301", "İ", "ß", "²", "٣", "〇", "！", "（", "🙂", "\u200d", "{", "_", "x" * 40, "=" * 30]
+
+
+def test_texts_without_white_space_in_chunks(monkeypatch):
+    """Ends are cut at boundaries, and counts stay those of the whole text."""
+    library = tokenizers.Tokenizer.from_file(PATH)
+    run = T.compiled(PATH)
+    monkeypatch.setattr(T, "ENDS", 4)
+    rng = random.Random(6)
+    cut = 0
+    for _ in range(4000):
+        text = "".join(rng.choice(TIGHT) for _ in range(rng.randrange(1, 40)))
+        size = rng.choice([9, 17, 40, 90])
+        maps = [run.chunk_map(text[i : i + size]) for i in range(0, len(text), size)]
+        cut += sum(m[0] for m in maps)
+        assert run.total(maps) == len(library.encode(text, add_special_tokens=False).ids), repr(text)
+    assert cut > 2000
+
+
+def test_ends_of_long_unspaced_texts_are_short():
+    run = T.compiled(PATH)
+    rng = random.Random(7)
+    for letters in ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "漢字仮名交文、。々〆ヵ東京都"):
+        text = "".join(rng.choice(letters) for _ in range(20_000))
+        closed, head, n, tail = run.chunk_map(text)
+        assert closed and n > 1000 and len(head) < 400 and len(tail) < 400
+
+
 def test_composition_is_associative():
     run = T.compiled(PATH)
     rng = random.Random(4)
