@@ -45,7 +45,7 @@ from .running import running
 
 ARITY = 2
 #: Leaves of one block: no join key has more rows than this.
-BLOCK = 1 << 20
+BLOCK = 1 << 12
 #: A group of nodes that is built at once has at most this many.
 GROUP = 256
 COLUMNS = ["doc_id", "source", "lang", "n_chars", "text"]
