@@ -153,7 +153,7 @@ def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTO
     # the system turn, for every window but the one that it is new in
     later = heads.where(F.col("has_system") & (F.col("pos") > 0)).select(F.col("lead.row").alias("row"), "conv", "first", F.floor(F.col("stretch") / STRETCHES).alias("part"))
     parts = later.groupBy("row").agg(F.max("part").alias("parts")).select(F.col("row").alias("_row"), "parts")
-    system = parts.join(turns, "_row").select("_row", F.explode(F.sequence(F.lit(0).cast("long"), "parts")).alias("_part"), "role", "text", "n")
+    system = parts.join(turns.where(F.col("role") == "system"), "_row").select("_row", F.explode(F.sequence(F.lit(0).cast("long"), "parts")).alias("_part"), "role", "text", "n")
     same = (F.col("row") == F.col("_row")) & (F.col("part") == F.col("_part"))
     lead = later.join(system, same).select("conv", "first", F.lit(0).cast("long").alias("pos"), F.lit(False).alias("is_new"), "role", "text", "n")
 
