@@ -17,10 +17,12 @@ the partition names, are hashed into the root in the same way.
    concatenates both segments, which doubles the distance, until the subroot is
    reached: log2(height) rounds. In round k only nodes on levels divisible by
    2^(k+1) go on, so beside the leaves a round moves a small part of the tree.
-   A node high up is the ancestor of very many leaves; such rows are posted once
-   per ``BLOCK`` leaves, and joined on the block, too, so that no key is hot.
+   A node high up is the ancestor of very many leaves: where the ancestors of a
+   round are counted to be ``FEW``, they are broadcast and the leaves stay where
+   they are; else they are posted once per ``BLOCK`` leaves, and joined on the block,
+   too, so that no key is hot.
 4. The path from subroot to root, found the same way over the subroots, is
-   appended, joined on partition and block.
+   appended, in the same two ways.
 
 Intermediate tables are written once each to the shared folder. Digests are kept as
 32 bytes.
@@ -44,8 +46,9 @@ from .common import read
 from .running import running
 
 ARITY = 2
-#: Leaves of one block: no join key has more rows than this.
-BLOCK = 1 << 12
+#: So many ancestors or partition paths, of at most some 60 levels each, are broadcast;
+#: more are posted once per block of so many leaves, so no join key has more rows.
+FEW, BLOCK = 10_000, 1 << 12
 #: A group of nodes that is built at once has at most this many.
 GROUP = 256
 COLUMNS = ["doc_id", "source", "lang", "n_chars", "text"]
@@ -182,17 +185,21 @@ def jump(tables: list[DataFrame], arity: int = ARITY) -> DataFrame:
     stride = 1
     while stride < heights:
         going = active.where(F.col("level") % (2 * stride) == 0)
-        over = (F.col("up") < F.col("height"))
-        asks = going.where(over).withColumn("block", _block(arity)).withColumn("to", F.floor(F.col("idx") / _power(F.col("up") - F.col("level"), arity)))
-        # an ancestor is posted to every block that holds leaves below it
-        width = _power(F.col("level"), arity)
-        posted = (
-            active.where(F.col("level") % (2 * stride) == stride)
-            .withColumn("block", F.explode(F.sequence(F.floor(F.col("idx") * width / BLOCK), F.floor(((F.col("idx") + 1) * width - 1) / BLOCK))))
-            .select(F.col("tree").alias("_tree"), F.col("level").alias("_level"), F.col("idx").alias("_idx"), F.col("block").alias("_block"), F.col("up").alias("_up"), F.col("path").alias("_path"))
+        over = F.col("up") < F.col("height")
+        asks = going.where(over).withColumn("to", F.floor(F.col("idx") / _power(F.col("up") - F.col("level"), arity)))
+        ancestors = active.where(F.col("level") % (2 * stride) == stride).select(
+            *[F.col(c).alias(f"_{c}") for c in ("tree", "level", "idx", "up", "path")]
         )
-        same = F.col("tree").eqNullSafe(F.col("_tree")) & (F.col("up") == F.col("_level")) & (F.col("to") == F.col("_idx")) & (F.col("block") == F.col("_block"))
-        met = asks.join(posted, same).select("tree", "height", "level", "idx", "payload", F.col("_up").alias("up"), F.concat("path", "_path").alias("path"))
+        same = F.col("tree").eqNullSafe(F.col("_tree")) & (F.col("up") == F.col("_level")) & (F.col("to") == F.col("_idx"))
+        if ancestors.count() <= FEW:
+            ancestors = F.broadcast(ancestors)
+        else:  # an ancestor is posted to every block that holds leaves below it
+            width = _power(F.col("_level"), arity)
+            blocks = F.sequence(F.floor(F.col("_idx") * width / BLOCK), F.floor(((F.col("_idx") + 1) * width - 1) / BLOCK))
+            ancestors = ancestors.withColumn("_block", F.explode(blocks))
+            asks = asks.withColumn("block", _block(arity))
+            same = same & (F.col("block") == F.col("_block"))
+        met = asks.join(ancestors, same).select("tree", "height", "level", "idx", "payload", F.col("_up").alias("up"), F.concat("path", "_path").alias("path"))
         active = materialize(met.union(going.where(~over).select(*met.columns)), "merkle-jump")
         stride *= 2
     return active.where("level = 0").select("tree", "idx", "payload", "path")
@@ -226,15 +233,15 @@ def proofs(rows: DataFrame, arity: int = ARITY) -> DataFrame:
     paths = jump(tables, arity).select("payload.part", "payload.subroot", F.col("path").alias("rest"))
     if root["payload"] is not None:  # one partition
         paths = tops.select(F.col("tree").alias("part"), "subroot", F.expr("cast(array() as array<struct<left: binary, right: binary>>)").alias("rest"))
-    # a large partition's row is posted once per block of its leaves
-    blocks = below.groupBy(F.col("part").alias("_part")).agg(F.max("idx").alias("last"))
-    posted = (
-        paths.join(blocks, F.col("part").eqNullSafe(F.col("_part")))
-        .withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("last") / BLOCK))))
-        .select("_part", "_block", "subroot", "rest")
-    )
-    same = F.col("part").eqNullSafe(F.col("_part")) & (F.floor(F.col("idx") / BLOCK) == F.col("_block"))
-    return below.join(posted, same).select("part", "payload.*", F.concat("path", "rest").alias("path"), "subroot", F.lit(bytes(root["root"])).alias("root"))
+    paths = paths.withColumnRenamed("part", "_part")
+    same = F.col("part").eqNullSafe(F.col("_part"))
+    if tops.count() <= FEW:
+        paths = F.broadcast(paths)
+    else:  # a large partition's row is posted once per block of its leaves
+        blocks = below.groupBy("part").agg(F.floor(F.max("idx") / BLOCK).alias("last"))
+        paths = paths.join(blocks, same).select("_part", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("_block"), "subroot", "rest")
+        same = same & (F.floor(F.col("idx") / BLOCK) == F.col("_block"))
+    return below.join(paths, same).select("part", "payload.*", F.concat("path", "rest").alias("path"), "subroot", F.lit(bytes(root["root"])).alias("root"))
 
 
 def op12_merkle_manifest(spark, sf_dir: str) -> DataFrame:

@@ -81,7 +81,7 @@ def test_awkward_rows_one_hot_partition(spark, monkeypatch):
     assert {r[-1] for r in got} == {True, False}
 
 
-@pytest.mark.parametrize("n", [1, 2, 3, 5, 257])
+@pytest.mark.parametrize("n", [1, 3, 257])
 def test_one_partition_of_any_size(spark, monkeypatch, n):
     rows = [(i, f"t{i}", "en", None, i) for i in range(n)]
     assert same(run(spark, monkeypatch, rows), want(rows))
@@ -95,6 +95,7 @@ def test_one_row_per_partition(spark, monkeypatch):
 def test_blocks_of_leaves_change_nothing(spark, monkeypatch):
     """Ancestors posted to many blocks, groups of one level, other arities."""
     monkeypatch.setattr(M, "BLOCK", 8)
+    monkeypatch.setattr(M, "FEW", 0)
     rows = [(i, f"t{i}", "en" if i % 4 else "de", None, i) for i in range(150)]
     assert same(run(spark, monkeypatch, rows), want(rows))
     monkeypatch.setattr(M, "GROUP", 3)
