@@ -58,4 +58,4 @@ def test_registry_has_every_operator_and_the_pipeline():
     import __spark_entry__ as entry
 
     names = set(entry.queries())
-    assert "pipeline" in names and {n.split("_")[0] for n in names if n[:2] == "op" and n[2].isdigit()} == {f"op{i}" for i in range(1, 11)}
+    assert "pipeline" in names and {n.split("_")[0] for n in names if n[:2] == "op" and n[2].isdigit()} == {f"op{i}" for i in range(1, 14)}
