@@ -73,20 +73,17 @@ def leaf_hash(columns: Sequence[Column]) -> Column:
     return digest(F.concat(*[field(c) for c in columns]))
 
 
-def _powers(arity: int) -> list[int]:
-    out = [1]
-    while out[-1] * arity < 1 << 62:
-        out.append(out[-1] * arity)
-    return out
-
-
-def _height(n: Column, arity: int) -> Column:
-    """Levels above the leaves: the powers of the arity that are smaller than n."""
-    return F.size(F.filter(F.array(*[F.lit(p) for p in _powers(arity)]), lambda p: p < n))
+def _height(n: str, arity: int) -> Column:
+    """Levels above the leaves: the powers of the arity that are smaller than column n."""
+    powers = [1]
+    while powers[-1] * arity < 1 << 62:
+        powers.append(powers[-1] * arity)
+    return F.expr(f"size(filter(array({', '.join(map(str, powers))}), p -> p < {n}))")
 
 
 def _power(level: Column, arity: int) -> Column:
-    return F.element_at(F.array(*[F.lit(p) for p in _powers(arity)]), (level + 1).cast("int"))
+    """arity^level; pow is exact for whole numbers up to 2^53."""
+    return F.pow(F.lit(arity), level).cast("long")
 
 
 def _parents(nodes: Column, arity: int) -> Column:
@@ -115,10 +112,10 @@ def trees(leaves: DataFrame, arity: int = ARITY) -> tuple[list[DataFrame], DataF
     levels per table, as (tree, height, level, idx, left, right, payload), and the
     subroots (tree, subroot). ``n`` is the number of leaves of the tree, idx a
     leaf's place from 0; ``payload`` stays with the leaf and is null above."""
-    steps = max(1, next(i for i, p in enumerate(_powers(arity)) if p * arity > GROUP))
+    steps = max(s for s in range(1, 63) if s == 1 or arity**s <= GROUP)
     fan = arity**steps
     level, tables, tops = 0, [], []
-    rows = leaves.select("tree", _height(F.col("n"), arity).alias("height"), "idx", "hash", "payload")
+    rows = leaves.select("tree", _height("n", arity).alias("height"), "idx", "hash", "payload")
     kind = rows.schema["payload"].dataType
     while True:
         # a written table each: (tree, height, block) with the levels of its nodes
