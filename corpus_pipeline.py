@@ -14,6 +14,10 @@ from cohortspark.llm import decontaminate, quality_classifier, secret_scan, sent
 from cohortspark.llm.common import read, whole_text
 from cohortspark.session import materialize
 
+#: Characters of a bundle of the last stage: half of the operator's own bundles, as the
+#: executors' Python workers have run four other stages before.
+BUNDLE = 7_000_000
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier passes."""
@@ -39,7 +43,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_bytes, n_pieces, ids_sha256, round_trip, ids): the piece ids of
     every document, and whether they decode to its text."""
-    return sentencepiece_lattice.encode(docs, sentencepiece_lattice.default_model())
+    return sentencepiece_lattice.encode(docs, sentencepiece_lattice.default_model(), BUNDLE)
 
 
 STAGES = [
