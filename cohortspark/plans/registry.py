@@ -4,8 +4,9 @@ Every query reads the supplied tables through the study fixtures (so its
 work grows with them). Building a query is lazy but for the footers of the
 tables it reads, with these exceptions, each of which writes a copy that is read
 more than once: exact percentiles (the counted values, in slices: ``PERCENTILE``
-below), ``measurement_seq`` (the sorted slices), and the queries that read back
-what they stored (``STORED``). Nothing is collected.
+below; those over all diseases write their result instead, after which the
+slices are deleted), ``measurement_seq`` (the sorted slices), and the queries
+that read back what they stored (``STORED``). Nothing is collected.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from ..operators import report as R
 from ..operators import sampling as X
 from ..operators import stats as S
 from ..operators import stratify as T
-from ..session import query_scratch, scratch_path
+from ..session import Scratch, materialize, query_scratch, scratch_path, small_tasks
 from ..sources import csv as CSV
 from ..sources import model
 from ..sources.dimensions import catalogue_frame, concept_frame
@@ -47,6 +48,9 @@ PERCENTILE = {
 }
 STORED = {"scan_csv", "scan_csv_positional", "stored_summary", "stored_by_age_sex", "stored_demographics", "exported_pivot"}
 
+# Measurement rows of a task of the queries over all diseases, at most about.
+ROWS_PER_TASK = 250_000
+
 # Disease used by the NOT IN exclusion query (any disease id works).
 NOT_IN_DISEASE_ID = 320128
 
@@ -222,17 +226,34 @@ def _by_disease(spark, sf) -> tuple[StudyTables, DataFrame]:
     return t, M.extract_measurements_by_disease(t.measurement, members)
 
 
+def _in_small_tasks(spark, sf, stats: Callable[[Scratch], DataFrame], name: str) -> DataFrame:
+    """The rows of ``stats(scratch)``, written; what the scratch holds is deleted. A
+    measurement counts for every disease, so these aggregates hold several times the
+    rows of the table: they run in tasks whose number follows the table (its row
+    count is in the files' footers)."""
+    rows = read_table(spark, sf, "lineitem").count()
+    with small_tasks(spark, -(-rows // ROWS_PER_TASK)), Scratch(spark) as scratch:
+        return materialize(stats(scratch), name)
+
+
 @register("summary_by_disease_and_concept")
 def _summary_by_disease_and_concept(spark, sf):
     """Box-plot statistics for every offered disease and analyte, in one job."""
-    _, mc = _by_disease(spark, sf)
-    return S.group_stats(mc, ["disease_concept_id", "cohort", "measurement_concept_id"])
+
+    def stats(scratch):
+        _, mc = _by_disease(spark, sf)
+        return S.group_stats(mc, ["disease_concept_id", "cohort", "measurement_concept_id"], scratch=scratch)
+
+    return _in_small_tasks(spark, sf, stats, "by_disease_and_concept")
 
 
 @register("age_sex_by_disease_and_concept")
 def _age_sex_by_disease_and_concept(spark, sf):
-    t, mc = _by_disease(spark, sf)
-    return T.measurement_by_age_sex(mc, t.person, t.concept, by=["disease_concept_id", "measurement_concept_id"])
+    def stats(scratch):
+        t, mc = _by_disease(spark, sf)
+        return T.measurement_by_age_sex(mc, t.person, t.concept, scratch=scratch, by=["disease_concept_id", "measurement_concept_id"])
+
+    return _in_small_tasks(spark, sf, stats, "age_sex_by_disease_and_concept")
 
 
 def _cohort_stats(spark, sf, stats):

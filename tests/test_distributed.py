@@ -191,3 +191,22 @@ def test_outcomes_by_disease_match_one_study_each(spark):
     analyte = study(spark, SF_SMALL, disease_id=320128, measurement_concept_id=3004501)
     own = [tuple(r)[2:] for r in strata if (r.disease_concept_id, r.measurement_concept_id) == (320128, 3004501)]
     assert sorted(own, key=str) == sorted(map(tuple, analyte.by_age_sex.collect()), key=str)
+
+
+@pytest.mark.parametrize("key", ["summary_by_disease_and_concept", "age_sex_by_disease_and_concept"])
+def test_tasks_over_all_diseases_follow_the_rows(spark, monkeypatch, key):
+    """Aggregates run in a number of tasks that grows with the measurements, not in
+    the session's fixed one; the session's settings stay."""
+    from cohortspark.plans import registry
+    from cohortspark.session import Scratch
+    from study_data import SF_SMALL
+
+    name = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    rows = spark.read.parquet(f"{SF_SMALL}/lineitem.parquet").count()
+    usual = sorted(map(str, registry.QUERIES[key](spark, SF_SMALL).collect()))
+    seen, write = [], Scratch.materialize
+    monkeypatch.setattr(registry, "ROWS_PER_TASK", rows // 20)
+    monkeypatch.setattr(Scratch, "materialize", lambda self, df, n: (seen.append(spark.conf.get(name)), write(self, df, n))[1])
+    assert sorted(map(str, registry.QUERIES[key](spark, SF_SMALL).collect())) == usual
+    assert len(seen) == 2 and min(map(int, seen)) >= 20
+    assert spark.conf.get(name, None) is None
