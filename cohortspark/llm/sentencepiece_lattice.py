@@ -25,7 +25,9 @@ documents as numbers of its distinct units, so what is shuffled is each distinct
 unit of a bundle and its encoding, not every word; texts are never shuffled. A
 unit that nearly all bundles hold is dealt in groups of ``GROUP`` bundles. The
 bundles are written bucketed by their number, so the join that brings the
-encodings back moves only these.
+encodings back moves only these. A bundle is written as one row of its distinct
+units and rows of ``PART`` characters of its documents, so that no worker or
+executor handles it as one large row.
 
 Decoding joins pieces, byte pieces as bytes (invalid UTF-8 becomes U+FFFD), and
 turns U+2581 into a space; it gives the text back, except that a U+2581 of the
@@ -53,14 +55,20 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucketed, read, whole_text
+from .common import arrow_batches, bucketed, read, whole_text
 
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 BUNDLE = 14_000_000
 #: Characters cut at a time.
-SLICE = 2_000_000
+SLICE = 250_000
+#: Characters of the documents of one row of a bundle.
+PART = 2_000_000
+#: Arrow batches of texts that are read into bundles.
+TEXT_BATCH = "4m"
+#: Units of the documents put together at a time.
+UNITS = 200_000
 GROUP = 4096
 #: Number of a unit in its bundle, below the bundle's number in one long.
 UNIT_BITS = 25
@@ -231,36 +239,50 @@ def load_model(path: str) -> Model:
 @dataclass
 class _Bundle:
     docs: list[tuple] = field(default_factory=list)  # (doc_id, bytes, digest, units)
-    units: list[pa.StringArray] = field(default_factory=list)
+    units: list[pa.DictionaryArray] = field(default_factory=list)  # of each slice
+    ends: list[tuple[int, int]] = field(default_factory=list)  # (documents, characters) up to the end of each slice
     size: int = 0
 
     def add(self, doc_ids: list, texts: list[str], model: Model) -> None:
         units, counts = model.cut([model.escape(t) for t in texts])
-        self.units.append(units)
+        self.units.append(units.dictionary_encode())
         for doc_id, text, n in zip(doc_ids, texts, counts.tolist()):
             digest = hashlib.sha256(text.replace(SPACE, " ").encode("utf-8", "replace")).digest()
             self.docs.append((doc_id, len(text.encode("utf-8", "replace")), digest, n))
         self.size += sum(map(len, texts))
-
-    def row(self, number: int) -> pa.RecordBatch:
-        ids, sizes, digests, counts = zip(*self.docs)
-        found = pa.concat_arrays(self.units).dictionary_encode()
-        codes, n = found.indices.to_numpy(), len(found.dictionary)
+        self.ends.append((len(self.docs), self.size))
+
+    def rows(self, number: int, part: int = PART):
+        """A row of the distinct units, then rows of documents of about ``part``
+        characters, with their units as numbers."""
+        found, self.units = pa.chunked_array(self.units).unify_dictionaries(), []
+        dictionary, chunks = found.chunk(0).dictionary, [c.indices.to_numpy() for c in found.chunks]
+        n = len(dictionary)
         # numbered by falling frequency: the high bytes are nearly all 0 then
-        order = np.argsort(-np.bincount(codes, minlength=n), kind="stable")
+        order = np.argsort(-sum(np.bincount(c, minlength=n) for c in chunks), kind="stable")
         number_of = np.empty(n, np.int32)
         number_of[order] = np.arange(n)
-        codes = number_of[codes]
-        columns = {
-            "bundle": pa.array([number], pa.int64()),
-            "doc_ids": pa.array([ids], pa.list_(pa.int64())),
-            "n_bytes": pa.array([sizes], pa.list_(pa.int64())),
-            "digests": pa.array([b"".join(digests)], pa.binary()),
-            "n_units": pa.array([counts], pa.list_(pa.int32())),
-            "codes": pa.array([codes.view(np.uint8).reshape(-1, 4).T.tobytes()], pa.binary()),
-            "units": pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), found.dictionary.take(pa.array(order))),
-        }
-        return pa.RecordBatch.from_pydict(columns)
+        yield self._row(number, units=pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), dictionary.take(pa.array(order))))
+        first, lo, done = 0, 0, 0
+        for i, (hi, size) in enumerate(self.ends):
+            if size - done < part and i + 1 < len(self.ends):
+                continue
+            ids, sizes, digests, counts = zip(*self.docs[lo:hi])
+            codes = number_of[np.concatenate(chunks[first : i + 1])]
+            yield self._row(
+                number,
+                doc_ids=pa.array([ids], pa.list_(pa.int64())),
+                n_bytes=pa.array([sizes], pa.list_(pa.int64())),
+                digests=pa.array([b"".join(digests)], pa.binary()),
+                n_units=pa.array([counts], pa.list_(pa.int32())),
+                codes=pa.array([codes.view(np.uint8).reshape(-1, 4).T.tobytes()], pa.binary()),
+            )
+            first, lo, done = i + 1, hi, size
+
+    @staticmethod
+    def _row(number: int, **columns: pa.Array) -> pa.RecordBatch:
+        kinds = {"doc_ids": pa.list_(pa.int64()), "n_bytes": pa.list_(pa.int64()), "digests": pa.binary(), "n_units": pa.list_(pa.int32()), "codes": pa.binary(), "units": pa.list_(pa.string())}
+        return pa.RecordBatch.from_pydict({"bundle": pa.array([number], pa.int64())} | {name: columns.get(name, pa.nulls(1, kind)) for name, kind in kinds.items()})
 
 
 BUNDLE_ROW = "bundle long, doc_ids array<long>, n_bytes array<long>, digests binary, n_units array<int>, codes binary, units array<string>"
@@ -282,7 +304,8 @@ def _slices(parts, size: int):
 
 
 def bundles(docs: DataFrame, model: Model, size: int = BUNDLE) -> DataFrame:
-    """The documents in bundles, written once, bucketed by bundle."""
+    """The documents in bundles, written once, bucketed by bundle: one row of a
+    bundle has its units, the others its documents."""
 
     def pack(parts):
         made, number = 0, TaskContext.get().partitionId() << 12
@@ -290,13 +313,14 @@ def bundles(docs: DataFrame, model: Model, size: int = BUNDLE) -> DataFrame:
         for doc_ids, texts in _slices(parts, min(SLICE, size)):
             held.add(doc_ids, texts, model)
             if held.size >= size:
-                yield held.row(number + made)
+                yield from held.rows(number + made)
                 held, made = _Bundle(), made + 1
         if held.docs:
-            yield held.row(number + made)
+            yield from held.rows(number + made)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).mapInArrow(pack, BUNDLE_ROW)
-    return bucketed(rows, "bundle", "sentencepiece-bundles")
+    with arrow_batches(docs.sparkSession, TEXT_BATCH):
+        return bucketed(rows, "bundle", "sentencepiece-bundles")
 
 
 # -- the lattice ---------------------------------------------------------------
@@ -515,8 +539,10 @@ def _squeeze(*arrays: np.ndarray) -> bytes:
     return zstandard.compress(b"".join(np.ascontiguousarray(a, np.int32).view(np.uint8).reshape(-1, 4).T.tobytes() for a in arrays), 3)
 
 
-def _spread(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, np.uint8).reshape(4, -1).T.copy().view(np.int32).reshape(-1)
+def _spread(raw: bytes | np.ndarray) -> np.ndarray:
+    """The int32 numbers of four byte planes."""
+    planes = np.frombuffer(raw, np.uint8).reshape(4, -1) if isinstance(raw, bytes) else raw
+    return planes.T.copy().view(np.int32).reshape(-1)
 
 
 def _gather(table: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -575,38 +601,48 @@ def encode(docs: DataFrame, model: Model, size: int = BUNDLE) -> DataFrame:
     document: UTF-8 length, its piece ids, their digest (as little-endian 32-bit
     numbers) and whether decoding gives the text back (U+2581 as space)."""
     table = bundles(docs, model, size)
-    parts = max(1, -(-table.count() // GROUP))
+    numbered, texts = table.where("units is not null"), table.where("codes is not null")
+    parts = max(1, -(-numbered.count() // GROUP))
     key = F.shiftleft("bundle", UNIT_BITS)
-    each = table.select("bundle", F.posexplode("units").alias("n", "unit"))
+    each = numbered.select("bundle", F.posexplode("units").alias("n", "unit"))
     units = each.groupBy("unit", F.pmod(F.col("bundle"), F.lit(parts)).alias("part")).agg(F.collect_list(key.bitwiseOR(F.col("n").cast("long"))).alias("at"))
     blobs = packed(unit_tokens(units, model), model).groupBy("bundle").agg(F.collect_list(F.struct("n", "blob")).alias("blobs"))
 
+    def encodings(blobs: pa.Scalar):
+        """(ids, first, count) of a bundle: the ids of its units end to end, and where
+        each unit's are."""
+        numbers, counts, ids = [], [], []
+        for b in blobs.as_py() or ():
+            n, flat = b["n"], zstandard.decompress(b["blob"])
+            numbers.append(_spread(flat[: 4 * n]))
+            counts.append(_spread(flat[4 * n : 8 * n]))
+            ids.append(_spread(flat[8 * n :]))
+        length = np.zeros(1 + max((int(x.max()) for x in numbers), default=0), np.int64)
+        start = np.zeros_like(length)
+        if not ids:
+            return np.empty(0, np.int32), start, length
+        at, many = np.concatenate(numbers), np.concatenate(counts).astype(np.int64)
+        length[at], start[at] = many, np.cumsum(many) - many
+        return np.concatenate(ids), start, length
+
     def unpack(parts_):
         text_of = model.decoder()
+        bundle = None
         for part in parts_:
             for r in range(part.num_rows):
                 row = {name: part.column(i)[r] for i, name in enumerate(part.schema.names)}
-                numbers, counts, ids = [], [], []
-                for b in row["blobs"].as_py() or ():
-                    n, flat = b["n"], zstandard.decompress(b["blob"])
-                    numbers.append(_spread(flat[: 4 * n]))
-                    counts.append(_spread(flat[4 * n : 8 * n]))
-                    ids.append(_spread(flat[8 * n :]))
-                found = np.concatenate(ids) if ids else np.empty(0, np.int32)
-                length = np.zeros(1 + max((int(x.max()) for x in numbers), default=0), np.int64)
-                start = np.zeros_like(length)
-                if ids:
-                    at, many = np.concatenate(numbers), np.concatenate(counts).astype(np.int64)
-                    length[at], start[at] = many, np.cumsum(many) - many
-                codes = _spread(row["codes"].as_py())
+                if bundle != row["bundle"]:  # the rows of a bundle follow each other, as a rule
+                    found, start, length = encodings(row["blobs"])
+                    bundle = row["bundle"]
+                codes = np.frombuffer(row["codes"].as_buffer(), np.uint8).reshape(4, -1)
                 doc_ids, n_bytes, n_units = row["doc_ids"].values, row["n_bytes"].values, row["n_units"].values.to_numpy()
                 digests = row["digests"].as_py()
                 ends = np.cumsum(n_units)
                 lo = 0
-                while lo < len(n_units):  # documents of about a million units at a time
+                while lo < len(n_units):
                     first = int(ends[lo] - n_units[lo])
-                    hi = max(lo + 1, int(np.searchsorted(ends, first + 1_000_000, "right")))
-                    own = codes[first : int(ends[hi - 1])]
+                    hi = max(lo + 1, int(np.searchsorted(ends, first + UNITS, "right")))
+                    own = _spread(codes[:, first : int(ends[hi - 1])])
                     sizes = np.concatenate([[0], np.cumsum(length[own])])
                     offsets = sizes[np.concatenate([[0], ends[lo:hi] - first])]
                     pieces = _gather(found, start[own], length[own])
@@ -625,7 +661,7 @@ def encode(docs: DataFrame, model: Model, size: int = BUNDLE) -> DataFrame:
                     )
                     lo = hi
 
-    joined = table.select("bundle", "doc_ids", "n_bytes", "digests", "n_units", "codes").join(blobs, "bundle", "left")
+    joined = texts.select("bundle", "doc_ids", "n_bytes", "digests", "n_units", "codes").join(blobs, "bundle", "left")
     return joined.mapInArrow(unpack, ENCODED)
 
 

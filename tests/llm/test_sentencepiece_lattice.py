@@ -1,12 +1,15 @@
 """Ids equal to the library's, for both kinds of model; exact round trips."""
 
+import random
 import struct
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 import sentencepiece
 from cohortspark.llm import sentencepiece_lattice as L
-from helpers import awkward, frame
+from cohortspark.llm.common import arrow_batches
+from helpers import awkward, frame, words
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
@@ -65,6 +68,39 @@ def test_groups_of_bundles_give_the_same(spark, monkeypatch):
     assert encoded(spark, frame(spark, rows), L.load_model(path), 300) == expected(rows, sentencepiece.SentencePieceProcessor(model_file=path))
 
 
+def test_no_row_of_a_bundle_holds_it_whole(spark):
+    """Written as one row of units and rows of at most about PART characters."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    rng = random.Random(3)
+    texts = ["", words(rng, 100_000, 3000), "", *(words(rng, 50_000, 3000) for _ in range(17)), ""]
+    rows = [(i, t, "en", "z", None) for i, t in enumerate(texts)]
+    docs, model, total = frame(spark, rows).coalesce(1), L.load_model(path), sum(map(len, texts))
+    assert total > 2 * L.PART
+    made = L.bundles(docs, model).collect()
+    assert len({r.bundle for r in made}) == 1 and sum(r.units is not None for r in made) == 1
+    sizes = [sum(r.n_bytes) for r in made if r.codes is not None]
+    assert len(sizes) > 1 and sum(sizes) == total and max(sizes) < L.PART + max(map(len, texts)) + L.SLICE
+    assert encoded(spark, docs, model) == expected(rows, sentencepiece.SentencePieceProcessor(model_file=path))
+
+
+def test_texts_reach_the_workers_in_small_batches(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+
+    def sizes(parts):
+        for part in parts:
+            yield pa.RecordBatch.from_pydict({"n": [part.nbytes]})
+
+    docs = spark.range(60).coalesce(1).select(L.F.repeat(L.F.lit("x"), 1 << 18).alias("text"))
+    with arrow_batches(spark, L.TEXT_BATCH):
+        got = [r.n for r in docs.mapInArrow(sizes, "n long").collect()]
+    assert sum(got) >= 60 << 18 and max(got) < 5 << 20
+    with pytest.raises(ZeroDivisionError), arrow_batches(spark, "1m"):
+        1 / 0
+    L.bundles(frame(spark, awkward()), L.default_model())
+    assert spark.conf.get(key) == before
+
+
 def test_unigram_model_equals_the_library(spark):
     letters = "abcdehint, \u2581"
     pieces = [("<unk>", 0.0, L.UNKNOWN), ("<s>", 0.0, L.CONTROL), ("</s>", 0.0, L.CONTROL)]
