@@ -50,6 +50,31 @@ def test_awkward_documents_at_the_real_length(spark):
     assert rows_of(found) == brute([(r[0], (r[1] or "").encode()) for r in rows], 400)
 
 
+def test_passages_of_over_50_words_are_judged_by_their_bytes(spark):
+    rng = random.Random(51)
+    vocabulary = ["".join(rng.choice("abcdeäéß") for _ in range(rng.randrange(2, 9))) for _ in range(3000)]
+
+    def prose(n):
+        return " ".join(rng.choice(vocabulary) for _ in range(n))
+
+    def passage(size):  # over 50 words, of exactly so many bytes
+        text = prose(51)
+        while len(text.encode()) < size:
+            text += " " + rng.choice(vocabulary)
+        return text if len(text.encode()) == size else passage(size)
+
+    docs, size_of = [(i, prose(rng.randrange(150, 300))) for i in range(8)], {}
+    for size in (380, 399, 400, 401, 700):
+        for _ in range(2):
+            shared = passage(size)
+            for left, right in ("()", "[]"):  # no byte beside the passage is shared
+                size_of[len(docs)] = size
+                docs.append((len(docs), prose(rng.randrange(20, 150)) + left + shared + right + prose(rng.randrange(20, 150))))
+    found = R.without_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.n_removed for r in found} == {i: s if (s := size_of.get(i, 0)) >= 400 else 0 for i, _ in docs}
+    assert rows_of(found) == brute([(i, t.encode()) for i, t in docs], 400)
+
+
 def test_text_cut_in_pieces_gives_the_same_runs(monkeypatch):
     rng = random.Random(9)
     text = bytes(rng.choice(b"abc") for _ in range(3000)) + b"a" * 500
